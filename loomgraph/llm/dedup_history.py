@@ -4,11 +4,11 @@ store for what the filters let through, and verification of the shared words.
 Near-equal: word edits (insert, delete, replace) at most a tenth of the longer text's words; words are split at white space and
 compared in lower case without punctuation. Texts under ten words are therefore near-equal only if equal.
 
-Nothing near-equal is missed by the fingerprints. k edits leave N - k words of the longer text in k + 1 common runs, so
-with k <= N / 10 a common run of 5 words (8 from 40 words up) always exists. Winnowing 5-word shingles with windows of 1 (4
-from 40 words up; both between 40 and 44, so that any two comparable lengths share a setting) picks the same shingle from each
-such run in both texts. As at least t picks are common, the t - 1 last ones in a fixed order can be left out of either text;
-shingles of everyday words come last in that order, so phrases of the house style rarely count.
+Nothing near-equal is missed by the fingerprints. k edits leave N - k words of the longer text in k + 1 common runs, so with
+k <= N / 10 both texts share t >= N - 4 - 5 k shingles of five words. All shingles are put into one fixed order and winnowed to
+the first of them: leaving out the last t - 2 of either text still leaves two common ones (one where t is 1). Shingles of everyday words come last in
+that order, so phrases of the house style, which form huge groups, are what falls away. (Winnowing by small windows was tried:
+it must keep a pick from every window, also from those that hold nothing but such phrases.)
 
 Rows without an id, and null or wordless contents, are no episodes here. Repeated ids are one episode. A null time sorts last. Ties
 go by id. Of several accepted partners the one with the fewest edits, then the earliest, is given.
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from ..session import Cut, delete, new_path
 
-Q, LONG, BOTH = 5, 40, 45
+Q = 5
 PARTITIONS = 64
 BITS, HASHES = 12, 4
-#: Groups of more texts than this that share a fingerprint meet leader by leader instead of in pairs.
-SMALL_GROUP = 16
+#: Groups of more texts than this that share a fingerprint are big: their texts meet only if they share a second fingerprint.
+SMALL_GROUP = 32
+#: What is left of a big group meets in pairs up to this size, and leader by leader beyond it.
+PAIRED_GROUP = 512
 _DROP = re.compile(r"[^\w\s]|_")
 
 
@@ -50,6 +52,9 @@ def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     if abs(n - m) > most:
         return most + 1
     x, y = a.tolist(), b.tolist()
+    p, q = set(x), set(y)
+    if len(p - q) > most or len(q - p) > most:  # each word without a counterpart costs an edit
+        return most + 1
 
     def slide(i: int, j: int) -> int:
         while i < n and j < m and x[i] == y[j]:
@@ -77,13 +82,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _least_common(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Picks that two near-equal texts have in common at least, the longer having from n to n / 0.9 words."""
+def _least_common(lengths: np.ndarray) -> np.ndarray:
+    """Shingles that two near-equal texts have in common at least, the longer having from n to n / 0.9 words."""
     top = int(lengths.max(initial=0))
     n = np.arange(int(top / 0.9) + 2)
-    span = Q + window - 1
-    common = -(-np.maximum(n - (span - 1) - span * (n // 10), 0) // window)
-    return np.array([common[a : int(a / 0.9) + 2].min(initial=0) for a in range(top + 1)])[lengths]
+    common = np.maximum(n - (Q - 1) - Q * (n // 10), 0)
+    return np.array([common[a : int(a / 0.9) + 2].min(initial=n[-1]) for a in range(top + 1)])[lengths]
 
 
 def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,37 +107,16 @@ def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) ->
     d, n = doc[: len(h)], lengths[doc[: len(h)]]
     at = np.arange(len(h))
     inside = at + Q <= starts[d] + n  # the shingle ends in its own text
-    keep_doc, keep_fp = [], []
-    for window, chosen in ((1, n < BOTH), (4, n >= LONG)):
-        ok = inside & chosen & (n >= 9)
-        if window == 1:
-            picked = np.flatnonzero(ok)
-        else:
-            w = len(h) - window + 1
-            if w <= 0:
-                continue
-            best = np.zeros(w, np.int64)
-            low = order[:w].copy()
-            for i in range(1, window):
-                less = order[i : w + i] <= low
-                best[less] = i
-                low = np.where(less, order[i : w + i], low)
-            full = ok[:w] & (at[:w] + window - 1 + Q <= starts[d[:w]] + n[:w])
-            picked = np.unique((at[:w] + best)[full])
-        if not len(picked):
-            continue
-        pd_, po = d[picked], order[picked]
-        by = np.lexsort((po, pd_))
-        picked, pd_ = picked[by], pd_[by]
-        counts = np.bincount(pd_, minlength=len(lengths))
-        rank = np.arange(len(picked)) - np.concatenate(([0], np.cumsum(counts)[:-1]))[pd_]
-        use = rank < counts[pd_] - np.maximum(_least_common(lengths, window)[pd_] - 1, 0)
-        keep_doc.append(pd_[use])
-        # the settings must not meet: a pick under one says nothing under the other
-        keep_fp.append(h[picked[use]] ^ np.uint64(window))
-    if not keep_doc:
+    picked = np.flatnonzero(inside & (n >= 9))
+    if not len(picked):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    docs, fps = np.concatenate(keep_doc), np.concatenate(keep_fp)
+    owner = d[picked]
+    by = np.lexsort((order[picked], owner))
+    picked, owner = picked[by], owner[by]
+    counts = np.bincount(owner, minlength=len(lengths))
+    rank = np.arange(len(picked)) - np.concatenate(([0], np.cumsum(counts)[:-1]))[owner]
+    use = rank < counts[owner] - np.maximum(_least_common(lengths)[owner] - 2, 0)
+    docs, fps = owner[use], h[picked[use]]
     by = np.lexsort((fps, docs))
     docs, fps = docs[by], fps[by]
     first = np.ones(len(docs), bool)
@@ -315,7 +298,17 @@ class History:
         if bloom is not None:
             rows = rows.unionByName(bloom.select("part", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("string").alias("rid"), F.lit(None).cast("long").alias("rat"), "bits"))
         screened = Cut(rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("fp").asc_nulls_first()).mapInArrow(_screen, SCREEN), "screened").df
-        new_pairs = _verify(screened.filter("kind = 'pair'"), reps)
+        pairs = screened.filter("kind = 'pair'").select("rid", "rat", "sid", "sat")
+        # two near-equal texts of more than ten words share two fingerprints: one big group alone links nothing
+        big = screened.filter("kind = 'big'").select("fp", "rid", "rat")
+        several = big.groupBy("rid").agg(F.count(F.lit(1)).alias("k")).join(reps.select(F.col("id").alias("rid"), "n"), "rid").filter("k > 1 or n <= 10").select("rid")
+        big = Cut(big.join(several, "rid", "left_semi"), "big").df
+        sizes = big.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+        left = big.join(sizes.filter(F.col("k") <= PAIRED_GROUP).select("fp"), "fp", "left_semi")
+        right = left.select("fp", F.col("rid").alias("sid"), F.col("rat").alias("sat"))
+        met = left.join(right, "fp").filter("sat < rat or (sat = rat and sid < rid)").select("rid", "rat", "sid", "sat")
+        new_pairs = _verify(pairs.unionByName(met), reps)
+        big = big.join(sizes.filter(F.col("k") > PAIRED_GROUP).select("fp"), "fp", "left_semi")
         if bloom is not None:
             store = self._read("fps", "fp long, sid string, sat long")
             met = screened.filter("kind = 'old'").select("fp", "rid", "rat").join(store, "fp").select("rid", "rat", "sid", "sat")
@@ -325,7 +318,7 @@ class History:
         else:
             against = spark.createDataFrame([], "rid string, rat long, sid string, sat long, edits int")
         links = Cut(new_pairs, "links").df
-        dups = self._resolve(reps, against, links, screened.filter("kind = 'big'").select("fp", "rid", "rat"))
+        dups = self._resolve(reps, against, links, big)
         self._store(reps, dups, screened)
         # every member of a class goes with its first text, or to the accepted text that one repeats
         outcome = new.join(dups, "id", "left").select("cls", F.coalesce("accepted", "id").alias("accepted"), F.coalesce("edits", F.lit(0)).alias("edits"))
