@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import dedup_history
+from . import contamination, dedup_history, packing
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,5 +14,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("id", "accepted_id").alias("episode_a"), F.greatest("id", "accepted_id").alias("episode_b"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    budgets = [(r[0], r[1]) for r in load(spark, d, "context_budgets").select("budget_name", "capacity_tokens").distinct().orderBy("budget_name").limit(100).collect()]
+    return packing.pack_documents(load(spark, d, "documents"), budgets)
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaked_spans(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {}
+#: Every passage's n-word phrases against every document's, as word lists.
+SQL["p9_found"] = """
+with dw as (select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from documents where text is not null),
+iw as (select item_id, list_filter(string_split_regex(lower(passage), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from eval_items),
+dp as (select distinct doc_id, array_to_string(w[i:i + 9], ' ') p from (select doc_id, w, unnest(range(1, len(w) - 8)) i from dw where len(w) >= 10)),
+ip as (select distinct item_id, array_to_string(w[i:i + 9], ' ') p from (select item_id, w, unnest(range(1, len(w) - 8)) i from iw where len(w) >= 10))
+select distinct doc_id, item_id from dp join ip using (p)"""
