@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Cut, delete, new_path
+from ..session import Cut, delete, new_path, release
 
 Q = 5
 PARTITIONS = 64
@@ -125,6 +125,8 @@ def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) ->
 
 
 SHAPE = "id string, at long, cls binary, n int, words binary, fps array<long>"
+#: Numbers of texts: the batch in the upper bits, Spark's own row number below.
+BATCH_BITS = 50
 
 
 def _shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,13 +141,15 @@ def _shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, fps = fingerprints(lengths, hashes, strong[codes] if len(codes) else np.zeros(0, bool))
         ends, cuts = np.cumsum(lengths), np.searchsorted(docs, np.arange(len(texts) + 1))
         raw = [hashes[e - k : e].tobytes() for e, k in zip(ends, lengths)]
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        packed = [short[e - k : e].tobytes() for e, k in zip(ends, lengths)]
         yield pd.DataFrame(
             {
                 "id": pdf["id"],
                 "at": pdf["at"],
                 "cls": [hashlib.blake2b(r, digest_size=16).digest() for r in raw],
                 "n": lengths.astype(np.int32),
-                "words": raw,
+                "words": packed,
                 "fps": [fps[a:b].astype(np.int64) for a, b in zip(cuts, cuts[1:])],
             }
         )[lengths > 0]
@@ -177,98 +181,96 @@ class Bloom:
         return out
 
 
-SCREEN = "kind string, part int, fp long, rid string, rat long, sid string, sat long, bits binary"
+SCREEN = "kind string, part int, fp long, k long, k2 long, bits binary"
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition after the other, its filters (fp null) first: 'old' rows may be in history, 'pair' and 'big' rows
-    share a fingerprint within the batch, 'bits' rows are the batch's own filter."""
+    """(part, fp, k, bits) rows, one partition of fingerprints after the other, its filters (fp null) first: 'old' rows may be in
+    history, 'pair' and 'big' rows share a fingerprint within the batch, the 'bits' row is the batch's own filter."""
 
-    def flush(part: int, filters: list, fps: list, rids: list, ats: list) -> pa.RecordBatch | None:
+    def flush(part: int, filters: list, fps: list, ks: list) -> pa.RecordBatch | None:
         if not fps:
             return None
-        fp, rid, at = np.concatenate(fps), np.concatenate(rids), np.concatenate(ats)
+        fp, k = np.concatenate(fps), np.concatenate(ks)
         u = fp.view(np.uint64)
         hit = np.zeros(len(u), bool)
         for f in filters:
             hit |= f.has(u)
         own = Bloom.sized(len(u))
         own.add(u)
-        by = np.lexsort((rid, at, fp))
-        fp, rid, at, hit = fp[by], rid[by], at[by], hit[by]
+        by = np.lexsort((k, fp))
+        fp, k, hit = fp[by], k[by], hit[by]
         edge = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1], [True])))
         size = np.diff(edge)
-        rows: dict[str, list] = {k: [] for k in ("kind", "fp", "rid", "rat", "sid", "sat", "bits")}
-
-        def put(kind: str, i: np.ndarray, j: np.ndarray | None = None) -> None:
-            rows["kind"] += [kind] * len(i)
-            rows["fp"] += fp[i].tolist()
-            rows["rid"] += rid[i].tolist()
-            rows["rat"] += at[i].tolist()
-            rows["sid"] += rid[j].tolist() if j is not None else [None] * len(i)
-            rows["sat"] += at[j].tolist() if j is not None else [None] * len(i)
-            rows["bits"] += [None] * len(i)
-
-        put("old", np.flatnonzero(hit))
-        for a, k in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
-            if k <= SMALL_GROUP:
-                lo, hi = np.triu_indices(k, 1)
-                put("pair", a + hi, a + lo)
+        lower, upper, big = [], [], []
+        for a, n in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
+            if n <= SMALL_GROUP:
+                i, j = np.triu_indices(n, 1)
+                lower.append(a + i)
+                upper.append(a + j)
             else:
-                put("big", np.arange(a, a + k))
-        for k, v in zip(("kind", "fp", "rid", "rat", "sid", "sat", "bits"), ("bits", None, None, None, None, None, own.bits.tobytes())):
-            rows[k].append(v)
-        types = {"kind": pa.string(), "fp": pa.int64(), "rid": pa.string(), "rat": pa.int64(), "sid": pa.string(), "sat": pa.int64(), "bits": pa.binary()}
-        n = len(rows["kind"])
-        arrays = {"kind": pa.array(rows["kind"]), "part": pa.array([part] * n, pa.int32()), **{k: pa.array(rows[k], t) for k, t in types.items() if k != "kind"}}
-        return pa.RecordBatch.from_arrays([arrays[c.split()[0]] for c in SCREEN.split(", ")], names=[c.split()[0] for c in SCREEN.split(", ")])
-
-    now, filters, fps, rids, ats = None, [], [], [], []
+                big.append(np.arange(a, a + n))
+        none = np.zeros(0, np.int64)
+        old, lower, upper, big = np.flatnonzero(hit), *(np.concatenate(x) if x else none for x in (lower, upper, big))
+        kinds = np.repeat(["old", "pair", "big"], [len(old), len(lower), len(big)]).tolist() + ["bits"]
+        n = len(kinds)
+        one = np.concatenate((old, lower, big))
+        second = pa.array(np.concatenate((k[np.concatenate((old, upper, big)).astype(np.int64)], [0])), mask=np.array([x != "pair" for x in kinds]))
+        tail = np.arange(n) == n - 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kinds), pa.array(np.full(n, part, np.int32)), pa.array(np.concatenate((fp[one], [0])), mask=tail), pa.array(np.concatenate((k[one], [0])), mask=tail), second, pa.array([None] * (n - 1) + [own.bits.tobytes()], pa.binary())],
+            names=[c.split()[0] for c in SCREEN.split(", ")],
+        )
+
+    now, filters, fps, ks = None, [], [], []
     for batch in batches:
         part = batch.column(0).to_numpy(zero_copy_only=False)
         edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
         for a, b in zip(edge[:-1], edge[1:]):
             if part[a] != now:
-                if now is not None and (out := flush(now, filters, fps, rids, ats)):
+                if now is not None and (out := flush(now, filters, fps, ks)):
                     yield out
-                now, filters, fps, rids, ats = int(part[a]), [], [], [], []
+                now, filters, fps, ks = int(part[a]), [], [], []
             piece = batch.slice(a, b - a)
-            bits = piece.column(4)
+            bits = piece.column(3)
             if bits.null_count < len(bits):
                 filters += [Bloom(np.frombuffer(x, np.uint8)) for x in bits.to_pylist() if x is not None]
             rows = piece.filter(piece.column(1).is_valid())
             if rows.num_rows:
                 fps.append(rows.column(1).to_numpy(zero_copy_only=False))
-                rids.append(rows.column(2).to_numpy(zero_copy_only=False))
-                ats.append(rows.column(3).to_numpy(zero_copy_only=False))
-    if now is not None and (out := flush(now, filters, fps, rids, ats)):
+                ks.append(rows.column(2).to_numpy(zero_copy_only=False))
+    if now is not None and (out := flush(now, filters, fps, ks)):
         yield out
 
 
+LINK = "k long, at long, k2 long, at2 long, edits int"
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = []
         for x, y in zip(pdf["w1"], pdf["w2"]):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            k = allowed(max(len(a), len(b)))
-            e = edits(a, b, k)
-            got.append(e if e <= k else -1)
-        out = pdf[["rid", "rat", "sid", "sat"]].assign(edits=np.array(got, np.int32))
+            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            most = allowed(max(len(a), len(b)))
+            e = edits(a, b, most)
+            got.append(e if e <= most else -1)
+        out = pdf[["k", "at", "k2", "at2"]].assign(edits=np.array(got, np.int32))
         yield out[out["edits"] >= 0]
 
 
-def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(rid, rat, sid, sat, edits) of candidate pairs that are near-equal; lengths are compared before any words move."""
-    pairs = pairs.select("rid", "rat", "sid", "sat").distinct()
-    left = words.select(F.col("id").alias("rid"), F.col("n").alias("n1"), F.col("words").alias("w1"))
-    right = words.select(F.col("id").alias("sid"), F.col("n").alias("n2"), F.col("words").alias("w2"))
-    close = F.abs(F.col("n1") - F.col("n2")) <= F.floor(F.greatest("n1", "n2") / 10)
-    return pairs.join(left, "rid").join(right, "sid").filter(close).select("rid", "rat", "sid", "sat", "w1", "w2").mapInPandas(_verified, "rid string, rat long, sid string, sat long, edits int")
+def _verify(pairs: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame:
+    """The candidate pairs (k, k2) that are near-equal, the later text (by time, then id) first; lengths are compared before words move."""
+    left = texts.select("k", F.col("id").alias("i1"), F.col("at").alias("a1"), F.col("n").alias("n1"), F.col("words").alias("w1"))
+    right = others.select(F.col("k").alias("k2"), F.col("id").alias("i2"), F.col("at").alias("a2"), F.col("n").alias("n2"), F.col("words").alias("w2"))
+    rows = pairs.select("k", "k2").join(left, "k").join(right, "k2").filter(F.abs(F.col("n1") - F.col("n2")) <= F.floor(F.greatest("n1", "n2") / 10))
+    later = F.struct("a1", "i1") > F.struct(F.col("a2").alias("a1"), F.col("i2").alias("i1"))
+    pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
+    return rows.select(pick("k", "k2").alias("k"), pick("a1", "a2").alias("at"), pick("k2", "k").alias("k2"), pick("a2", "a1").alias("at2"), "w1", "w2").mapInPandas(_verified, LINK)
 
 
 class History:
-    """The persistent state: classes (cls -> accepted id), accepted texts (words), their fingerprints, and Bloom filters; one
-    sub-folder for each batch, so a batch that dies leaves nothing half-written in what later ones read."""
+    """The persistent state: classes (cls -> accepted id), accepted texts with their words and fingerprints, Bloom filters, and the
+    fingerprints that were big; one sub-folder for each batch, so a batch that dies leaves nothing half-written that later ones read."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.batches = spark, path, 0
@@ -280,106 +282,128 @@ class History:
 
     def add(self, texts: DataFrame) -> DataFrame:
         """Takes (id, at, content) rows that all come after the history; gives (id, accepted_id, edits) of the duplicates."""
-        spark = self.spark
-        shaped = Cut(texts.mapInPandas(_shape, SHAPE), "shaped").df
+        number = F.monotonically_increasing_id() + F.lit(self.batches << BATCH_BITS)
+        shaped_cut = Cut(texts.mapInPandas(_shape, SHAPE).withColumn("k", number), "shaped")
+        shaped = shaped_cut.df
         # exact copies collapse to their earliest; only that one is compared any further
-        w = F.min(F.struct("at", "id"))
-        firsts = shaped.groupBy("cls").agg(w.alias("first"))
+        firsts = shaped.groupBy("cls").agg(F.min(F.struct("at", "id", "k")).alias("first")).select("cls", "first.id", "first.k")
         known = self._read("classes", "cls binary, accepted string")
-        if known is None:
-            new = firsts.select("cls", F.col("first.id").alias("id"))
-        else:
-            new = firsts.join(known, "cls", "left_anti").select("cls", F.col("first.id").alias("id"))
-        reps = Cut(shaped.join(new.select("id"), "id", "left_semi"), "reps").df
-        rows = reps.select(F.explode("fps").alias("fp"), F.col("id").alias("rid"), F.col("at").alias("rat"))
+        new = firsts if known is None else firsts.join(known, "cls", "left_anti")
+        new = Cut(new, "new").df
+        reps_cut = Cut(shaped.drop("cls").join(new.select("k"), "k", "left_semi"), "reps")
+        reps = reps_cut.df
+
         part = F.pmod("fp", F.lit(PARTITIONS)).cast("int").alias("part")
-        rows = rows.select(part, "fp", "rid", "rat", F.lit(None).cast("binary").alias("bits"))
+        rows = reps.select(F.explode("fps").alias("fp"), "k").select(part, "fp", "k", F.lit(None).cast("binary").alias("bits"))
         bloom = self._read("bloom", "part int, bits binary")
         if bloom is not None:
-            rows = rows.unionByName(bloom.select("part", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("string").alias("rid"), F.lit(None).cast("long").alias("rat"), "bits"))
-        screened = Cut(rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("fp").asc_nulls_first()).mapInArrow(_screen, SCREEN), "screened").df
-        pairs = screened.filter("kind = 'pair'").select("rid", "rat", "sid", "sat")
-        # two near-equal texts of more than ten words share two fingerprints: one big group alone links nothing
-        big = screened.filter("kind = 'big'").select("fp", "rid", "rat")
-        several = big.groupBy("rid").agg(F.count(F.lit(1)).alias("k")).join(reps.select(F.col("id").alias("rid"), "n"), "rid").filter("k > 1 or n <= 10").select("rid")
-        big = Cut(big.join(several, "rid", "left_semi"), "big").df
-        sizes = big.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-        left = big.join(sizes.filter(F.col("k") <= PAIRED_GROUP).select("fp"), "fp", "left_semi")
-        right = left.select("fp", F.col("rid").alias("sid"), F.col("rat").alias("sat"))
-        met = left.join(right, "fp").filter("sat < rat or (sat = rat and sid < rid)").select("rid", "rat", "sid", "sat")
-        new_pairs = _verify(pairs.unionByName(met), reps)
-        big = big.join(sizes.filter(F.col("k") > PAIRED_GROUP).select("fp"), "fp", "left_semi")
-        if bloom is not None:
-            store = self._read("fps", "fp long, sid string, sat long")
-            met = screened.filter("kind = 'old'").select("fp", "rid", "rat").join(store, "fp").select("rid", "rat", "sid", "sat")
-            accepted_words = self._read("accepted", "id string, at long, n int, words binary")
-            both = reps.select("id", "n", "words").unionByName(accepted_words.select("id", "n", "words"))
-            against = Cut(_verify(met, both), "against").df
-        else:
-            against = spark.createDataFrame([], "rid string, rat long, sid string, sat long, edits int")
-        links = Cut(new_pairs, "links").df
-        dups = self._resolve(reps, against, links, big)
-        self._store(reps, dups, screened)
+            rows = rows.unionByName(bloom.select("part", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("k"), "bits"))
+        by_part = rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("bits").isNull())
+        screened_cut = Cut(by_part.mapInArrow(_screen, SCREEN), "screened")
+        screened = screened_cut.df
+
+        short = reps.filter("n <= 10").select("k")
+        big = screened.filter("kind = 'big'").select("fp", "k")
+        links, leaders = self._within(screened, big, short, reps)
+        against = self._before(screened, short, reps)
+        dups = self._resolve(reps, against, links, leaders)
+        kept = reps.join(dups.select("k"), "k", "left_anti")
+        kept.write.parquet(f"{self.path}/accepted/batch={self.batches}")
+        screened.filter("kind = 'bits'").select("part", "bits").write.parquet(f"{self.path}/bloom/batch={self.batches}")
+        big.select("fp").distinct().write.parquet(f"{self.path}/big/batch={self.batches}")
         # every member of a class goes with its first text, or to the accepted text that one repeats
-        outcome = new.join(dups, "id", "left").select("cls", F.coalesce("accepted", "id").alias("accepted"), F.coalesce("edits", F.lit(0)).alias("edits"))
-        outcome.select("cls", "accepted").write.parquet(f"{self.path}/classes/batch={self.batches}")
+        self.batches += 1
+        name = self._read("accepted", "id string, k long").select(F.col("k").alias("k2"), F.col("id").alias("accepted"))
+        named = dups.join(name, "k2").select("k", "accepted", "edits")
+        outcome = new.join(named, "k", "left").select("cls", F.coalesce("accepted", "id").alias("accepted"), F.coalesce("edits", F.lit(0)).alias("edits"))
+        outcome = Cut(outcome, "outcome").df
+        outcome.select("cls", "accepted").write.parquet(f"{self.path}/classes/batch={self.batches - 1}")
         if known is not None:
             outcome = outcome.unionByName(firsts.join(known, "cls").select("cls", "accepted", F.lit(0).alias("edits")))
         found = shaped.select("id", "cls").join(outcome, "cls").filter("id <> accepted").select("id", F.col("accepted").alias("accepted_id"), "edits")
-        found = Cut(found, "found").df
-        self.batches += 1
+        found = Cut(found.distinct(), "found").df
+        for c in (shaped_cut, reps_cut, screened_cut):
+            c.drop()
+        release(self.spark)
         return found
 
+    def _within(self, screened: DataFrame, big: DataFrame, short: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Near-equal pairs inside the batch, and the memberships (fp, k) of groups too large for pairs.
+
+        Near-equal texts of more than ten words share two fingerprints at least: a pair that met only once, or a text in only one big
+        group, counts no further unless the other shared one may be hidden in a big group.
+        """
+        in_big = big.select("k").distinct()
+        met = screened.filter("kind = 'pair'").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"))
+        met = Cut(met, "met").df
+        once = met.filter("c = 1")
+        rest = once.join(in_big, "k", "left_semi").join(in_big.withColumnRenamed("k", "k2"), "k2", "left_semi").select("k", "k2")
+        brief = once.join(short, "k", "left_semi").select("k", "k2").union(once.join(short.withColumnRenamed("k", "k2"), "k2", "left_semi").select("k", "k2"))
+        several = big.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k").union(short)
+        open_ = Cut(big.join(several, "k", "left_semi"), "big").df
+        sizes = open_.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        left = open_.join(sizes.filter(F.col("c") <= PAIRED_GROUP).select("fp"), "fp", "left_semi")
+        paired = left.join(left.withColumnRenamed("k", "k2"), "fp").filter("k < k2").select("k", "k2")
+        pairs = met.filter("c > 1").select("k", "k2").union(rest).union(brief).union(paired).distinct()
+        links = Cut(_verify(pairs, reps, reps), "links").df
+        return links, open_.join(sizes.filter(F.col("c") > PAIRED_GROUP).select("fp"), "fp", "left_semi")
+
+    def _before(self, screened: DataFrame, short: DataFrame, reps: DataFrame) -> DataFrame:
+        """Near-equal pairs of the batch's texts with accepted ones: filter positives looked up in the store, counted, verified."""
+        accepted = self._read("accepted", "id string, at long, n int, words binary, fps array<long>, k long")
+        if accepted is None:
+            return self.spark.createDataFrame([], LINK)
+        old = screened.filter("kind = 'old'").select("fp", "k")
+        store = accepted.select(F.explode("fps").alias("fp"), F.col("k").alias("k2"))
+        hot = self._read("big", "fp long").distinct().withColumn("hot", F.lit(True))
+        old = Cut(old.join(hot, "fp", "left"), "old").df
+        # big fingerprints link only texts that have two of them, on both sides
+        hot_old = old.filter("hot")
+        two = lambda df, k: df.groupBy(k).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(k)
+        hot_store = store.join(hot.select("fp"), "fp", "left_semi")
+        hot_met = hot_old.join(two(hot_old, "k"), "k", "left_semi").select("fp", "k").join(hot_store.join(two(hot_store, "k2"), "k2", "left_semi"), "fp")
+        met = old.filter("hot is null").select("fp", "k").join(store, "fp").select("k", "k2").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"))
+        met = Cut(met, "met").df
+        once = met.filter("c = 1")
+        rest = once.join(hot_old.select("k").distinct(), "k", "left_semi").select("k", "k2").union(once.join(short, "k", "left_semi").select("k", "k2"))
+        few = accepted.filter("n <= 10").select(F.col("k").alias("k2"))
+        rest = rest.union(once.join(few, "k2", "left_semi").select("k", "k2"))
+        pairs = met.filter("c > 1").select("k", "k2").union(rest).union(hot_met.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2")).distinct()
+        return Cut(_verify(pairs, reps, accepted), "against").df
+
     def _resolve(self, reps: DataFrame, against: DataFrame, links: DataFrame, big: DataFrame) -> DataFrame:
-        """(id, accepted, edits) of texts that repeat an accepted one. A text whose earlier near-equals are all settled is settled itself.
+        """(k, k2: the accepted text it repeats, edits). A text whose earlier near-equals are all settled is settled itself.
 
         Texts in groups that share a fingerprint too often for pairs are compared with the group's earliest unsettled text
         only, round by round; that one is settled in its round, so each later text meets every accepted one before it is.
         """
-        spark = self.spark
-        best = lambda df: df.groupBy(F.col("rid").alias("id")).agg(F.min(F.struct("edits", "sat", "sid")).alias("b")).select("id", F.col("b.sid").alias("accepted"), F.col("b.edits").alias("edits"))
-        if not big.isEmpty():
-            return self._rounds(reps, against, links, big, best)
-        # here the near-equal pairs alone decide; they are few and already written
-        dups = Cut(best(against), "dups").df
-        edges = Cut(links.join(dups.select(F.col("id").alias("rid")), "rid", "left_anti").join(dups.select(F.col("id").alias("sid")), "sid", "left_anti"), "edges").df
-        parts = dups
-        while not edges.isEmpty():
-            # accepted for sure: earlier ends that are no later end
-            roots = edges.select(F.col("sid")).distinct().join(edges.select(F.col("rid").alias("sid")), "sid", "left_anti")
-            now = Cut(best(edges.join(roots, "sid")), "dups").df
-            parts = parts.unionByName(now)
-            gone = now.select("id")
-            rest = edges.join(gone.withColumnRenamed("id", "rid"), "rid", "left_anti").join(gone.withColumnRenamed("id", "sid"), "sid", "left_anti")
-            edges = Cut(rest, "edges").df
-        return parts
-
-    def _rounds(self, reps: DataFrame, against: DataFrame, links: DataFrame, big: DataFrame, best) -> DataFrame:
+        best = lambda df: df.groupBy("k").agg(F.min(F.struct("edits", "at2", "k2")).alias("b")).select("k", "b.k2", "b.edits")
+        without = lambda df, gone, *columns: [df := df.join(gone.select(F.col("k").alias(c)), c, "left_anti") for c in columns][-1]
         parts = Cut(best(against), "dups").df
-        open_ = Cut(big.join(parts.select(F.col("id").alias("rid")), "rid", "left_anti"), "open").df
-        edges = Cut(links.join(parts.select(F.col("id").alias("rid")), "rid", "left_anti").join(parts.select(F.col("id").alias("sid")), "sid", "left_anti"), "edges").df
-        while not (open_.isEmpty() and edges.isEmpty()):
-            first = open_.groupBy("fp").agg(F.min(F.struct("rat", "rid")).alias("m"))
-            near = _verify(open_.join(first, "fp").filter("rid <> m.rid").select("rid", "rat", F.col("m.rid").alias("sid"), F.col("m.rat").alias("sat")), reps)
-            near = Cut(near, "near").df
-            waiting = open_.join(first, "fp").filter("rid <> m.rid").select("rid").union(edges.select("rid")).distinct()
-            alive = open_.select("rid").union(edges.select("rid")).union(edges.select(F.col("sid"))).distinct()
-            settled = Cut(alive.join(waiting, "rid", "left_anti").select(F.col("rid").alias("sid")), "settled").df
-            now = Cut(best(near.unionByName(edges).join(settled, "sid")), "dups").df
+        edges = Cut(without(links, parts, "k", "k2"), "edges").df
+        open_ = without(big, parts, "k")
+        leaders = not open_.isEmpty()
+        while leaders or not edges.isEmpty():
+            near = edges
+            alive, waiting = edges.select("k").union(edges.select("k2")), edges.select("k")
+            if leaders:
+                times = reps.select("k", "at", "id")
+                timed = Cut(open_.join(times, "k"), "open").df
+                first = timed.groupBy("fp").agg(F.min(F.struct("at", "id", "k")).alias("m")).select("fp", F.col("m.k").alias("k2"))
+                behind = timed.join(first, "fp").filter("k <> k2").select("k", "k2").distinct()
+                near = near.unionByName(Cut(_verify(behind, reps, reps), "near").df)
+                alive, waiting = alive.union(timed.select("k")), waiting.union(behind.select("k"))
+            # earliest of all they meet: accepted for sure
+            settled = Cut(without(alive.distinct(), waiting.distinct(), "k"), "settled").df
+            now = Cut(best(near.join(settled.withColumnRenamed("k", "k2"), "k2")), "dups").df
             parts = parts.unionByName(now)
-            gone = now.select(F.col("id").alias("rid"))
-            done = Cut(gone.union(settled.select(F.col("sid").alias("rid"))), "done").df
-            open_ = Cut(open_.join(done, "rid", "left_anti"), "open").df
-            rest = edges.join(gone, "rid", "left_anti").join(done.withColumnRenamed("rid", "sid"), "sid", "left_anti")
-            edges = Cut(rest, "edges").df
+            done = now.select("k").union(settled)
+            edges = Cut(without(without(edges, now, "k"), done, "k2"), "edges").df
+            if leaders:
+                open_ = Cut(without(open_, done, "k"), "open").df
+                leaders = not open_.isEmpty()
         return parts
 
-    def _store(self, reps: DataFrame, dups: DataFrame, screened: DataFrame) -> None:
-        kept = reps.join(dups.select("id"), "id", "left_anti")
-        kept.select("id", "at", "n", "words").write.parquet(f"{self.path}/accepted/batch={self.batches}")
-        kept.select(F.explode("fps").alias("fp"), F.col("id").alias("sid"), F.col("at").alias("sat")).write.parquet(f"{self.path}/fps/batch={self.batches}")
-        screened.filter("kind = 'bits'").select("part", "bits").write.parquet(f"{self.path}/bloom/batch={self.batches}")
-
 
 def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 4) -> DataFrame:
     """(id, accepted_id, edits) of all duplicates, feeding the rows to a fresh history in consecutive batches of the order column.
@@ -387,22 +411,22 @@ def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches:
     The outcome does not depend on how many batches there are: texts are settled strictly in order.
     """
     spark = episodes.sparkSession
-    at = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(2**62))
-    rows = episodes.filter(F.col(id).isNotNull() & F.col(content).isNotNull()).select(F.col(id).alias("id"), at.alias("at"), F.col(content).alias("content"))
-    bounds = rows.agg(F.percentile_approx("at", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    us = F.unix_micros(F.col(order).cast("timestamp"))
+    rows = episodes.filter(F.col(id).isNotNull() & F.col(content).isNotNull())
+    bounds = rows.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    bounds = sorted(set(bounds))
     history = History(spark, new_path(spark, "history"))
     out = None
+    kind = dict(episodes.dtypes)[order]
     for lo, hi in zip([None, *bounds], [*bounds, None]):
-        if lo is not None and lo == hi:
-            continue
         part = rows
+        # plain comparisons of the column, so that row groups of other batches are skipped by their statistics
         if lo is not None:
-            part = part.filter(F.col("at") > lo)
+            later = F.col(order) > F.timestamp_micros(F.lit(lo)).cast(kind)
+            part = part.filter(later if hi is not None else later | F.col(order).isNull())
         if hi is not None:
-            part = part.filter(F.col("at") <= hi)
-        # the same id twice is the same record
-        part = part.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("at"))).filter("_n = 1").drop("_n")
-        found = history.add(part)
+            part = part.filter(F.col(order) <= F.timestamp_micros(F.lit(hi)).cast(kind))
+        found = history.add(part.select(F.col(id).alias("id"), F.coalesce(us, F.lit(2**62)).alias("at"), F.col(content).alias("content")))
         out = found if out is None else out.unionByName(found)
     delete(spark, history.path)
     return out
