@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Cut
+from ..session import Cut, new_path
 from .skew import HOT_ROWS, salted_join
 
 
@@ -88,18 +88,26 @@ def orphans(tables: dict[str, Table], keys: list[ForeignKey], cascade: bool = Tr
     key_of = F.concat(place[F.col("fk")], cleaned("row_id"))
     links = Cut(refs.filter(F.col("fk").isin(own)).distinct(), "links")
     gone = lambda df: df.select(key_of.alias("gone")).filter("gone is not null").distinct()
-    fresh, inherited, level = gone(found.df.filter("ref_state = 'missing'")), None, 0
+    # all levels lie in one folder, so that however deep the cascade runs, each round's plan reads two tables
+    spark = found.df.sparkSession
+    path, shape = new_path(spark, "levels"), "fk int, row_id string, born timestamp_ntz, ref_state string"
+    shape = shape.replace("timestamp_ntz", dict(direct.dtypes)["born"])
+    gone(found.df.filter("ref_state = 'missing'")).write.parquet(f"{path}-gone/level=0")
+    level = 0
     while max_levels is None or level < max_levels:
         level += 1
-        hit = salted_join(links.df, fresh, "ref_key", "gone", "left_semi", hot_rows=hot_rows)
-        if inherited is not None:  # in a loop of references each one is met once
-            hit = hit.join(inherited.select("fk", "row_id"), ["fk", "row_id"], "left_anti")
-        now = Cut(hit.select("fk", "row_id", "born", F.lit("inherited").alias("ref_state"), F.lit(level).alias("level")), "level").df
+        fresh = spark.read.schema("gone string").parquet(f"{path}-gone/level={level - 1}")
+        hit = salted_join(links.df, fresh, "ref_key", "gone", "left_semi", hot_rows=hot_rows).select("fk", "row_id", "born", F.lit("inherited").alias("ref_state"))
+        if level > 1:  # in a loop of references each one is met once
+            hit = hit.join(spark.read.schema(f"{shape}, level int").parquet(path).select("fk", "row_id"), ["fk", "row_id"], "left_anti")
+        hit.write.parquet(f"{path}/level={level}")
+        now = spark.read.schema(shape).parquet(f"{path}/level={level}")
         if now.isEmpty():
             break
-        inherited = now if inherited is None else inherited.unionByName(now)
-        fresh = gone(now)
-    parts = found.df if inherited is None else found.df.unionByName(inherited)
+        gone(now).write.parquet(f"{path}-gone/level={level}")
+    parts = found.df
+    if level:
+        parts = parts.unionByName(spark.read.schema(f"{shape}, level int").parquet(path))
     # a reference found missing or late stays what it is
     first = parts.groupBy("fk", "row_id", "born").agg(F.min(F.struct("level", "ref_state")).alias("s"))
     return _named(first.select("fk", "row_id", "born", "s.ref_state", "s.level"), keys)

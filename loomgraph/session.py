@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -80,6 +81,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return Cut(df, label).df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle files of plans that are no longer held; without it they stay until some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
