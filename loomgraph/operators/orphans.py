@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Cut, new_path
-from .skew import HOT_ROWS, salted_join
+from .skew import HOT_ROWS, hot_keys, salted_join
 
 
 @dataclass(frozen=True)
@@ -92,12 +92,13 @@ def orphans(tables: dict[str, Table], keys: list[ForeignKey], cascade: bool = Tr
     spark = found.df.sparkSession
     path, shape = new_path(spark, "levels"), "fk int, row_id string, born timestamp_ntz, ref_state string"
     shape = shape.replace("timestamp_ntz", dict(direct.dtypes)["born"])
+    hot = hot_keys(links.df, "ref_key", hot_rows)
     gone(found.df.filter("ref_state = 'missing'")).write.parquet(f"{path}-gone/level=0")
     level = 0
     while max_levels is None or level < max_levels:
         level += 1
         fresh = spark.read.schema("gone string").parquet(f"{path}-gone/level={level - 1}")
-        hit = salted_join(links.df, fresh, "ref_key", "gone", "left_semi", hot_rows=hot_rows).select("fk", "row_id", "born", F.lit("inherited").alias("ref_state"))
+        hit = salted_join(links.df, fresh, "ref_key", "gone", "left_semi", hot=hot).select("fk", "row_id", "born", F.lit("inherited").alias("ref_state"))
         if level > 1:  # in a loop of references each one is met once
             hit = hit.join(spark.read.schema(f"{shape}, level int").parquet(path).select("fk", "row_id"), ["fk", "row_id"], "left_anti")
         hit.write.parquet(f"{path}/level={level}")

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def local_session(cpus: int = 8, app: str = "loomgraph", memory: str = "8g") -> SparkSession:
@@ -47,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 class Cut:
@@ -64,7 +67,6 @@ class Cut:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path)
         self.schema = df.schema
-        _written.append((self.spark, self.path))
 
     @property
     def df(self) -> DataFrame:
@@ -74,9 +76,6 @@ class Cut:
         delete(self.spark, self.path)
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return Cut(df, label).df
 
@@ -95,7 +94,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for _, path in _written:
+    for path in _written:
         if path.startswith("file:") or path.startswith("/"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
     for path in _own:
