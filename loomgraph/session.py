@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 _written: list[str] = []
@@ -80,6 +81,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return Cut(df, label).df
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Marks a written, narrow table for broadcast if it is counted to have at most so many rows; else it is joined by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner find the shuffle files of plans that are no longer held; without it they stay until some later collection."""
     gc.collect()
