@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Cut, delete, new_path, release
+from ..session import Cut, bounded, delete, new_path, release
 
 Q = 5
 PARTITIONS = 64
@@ -262,7 +262,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame:
     """The candidate pairs (k, k2) that are near-equal, the later text (by time, then id) first; lengths are compared before words move."""
     left = texts.select("k", F.col("id").alias("i1"), F.col("at").alias("a1"), F.col("n").alias("n1"), F.col("words").alias("w1"))
     right = others.select(F.col("k").alias("k2"), F.col("id").alias("i2"), F.col("at").alias("a2"), F.col("n").alias("n2"), F.col("words").alias("w2"))
-    rows = pairs.select("k", "k2").join(left, "k").join(right, "k2").filter(F.abs(F.col("n1") - F.col("n2")) <= F.floor(F.greatest("n1", "n2") / 10))
+    few = bounded(Cut(pairs.select("k", "k2"), "pairs").df)
+    rows = Cut(left.join(few, "k"), "left").df
+    words = rows.agg(F.sum("n1")).first()[0] or 0
+    # four bytes a word: the words of one side are broadcast only if counted to be a few MB
+    rows = right.join(F.broadcast(rows), "k2") if words <= 4_000_000 else rows.join(right, "k2")
+    rows = rows.filter(F.abs(F.col("n1") - F.col("n2")) <= F.floor(F.greatest("n1", "n2") / 10))
     later = F.struct("a1", "i1") > F.struct(F.col("a2").alias("a1"), F.col("i2").alias("i1"))
     pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
     return rows.select(pick("k", "k2").alias("k"), pick("a1", "a2").alias("at"), pick("k2", "k").alias("k2"), pick("a2", "a1").alias("at2"), "w1", "w2").mapInPandas(_verified, LINK)
@@ -290,7 +295,8 @@ class History:
         known = self._read("classes", "cls binary, accepted string")
         new = firsts if known is None else firsts.join(known, "cls", "left_anti")
         new = Cut(new, "new").df
-        reps_cut = Cut(shaped.drop("cls").join(new.select("k"), "k", "left_semi"), "reps")
+        copies = bounded(Cut(shaped.select("k").join(new.select("k"), "k", "left_anti"), "copies").df)
+        reps_cut = Cut(shaped.drop("cls").join(copies, "k", "left_anti"), "reps")
         reps = reps_cut.df
 
         part = F.pmod("fp", F.lit(PARTITIONS)).cast("int").alias("part")
@@ -307,7 +313,7 @@ class History:
         links, leaders = self._within(screened, big, short, reps)
         against = self._before(screened, short, reps)
         dups = self._resolve(reps, against, links, leaders)
-        kept = reps.join(dups.select("k"), "k", "left_anti")
+        kept = reps.join(bounded(dups.select("k")), "k", "left_anti")
         kept.write.parquet(f"{self.path}/accepted/batch={self.batches}")
         screened.filter("kind = 'bits'").select("part", "bits").write.parquet(f"{self.path}/bloom/batch={self.batches}")
         big.select("fp").distinct().write.parquet(f"{self.path}/big/batch={self.batches}")
@@ -362,7 +368,7 @@ class History:
         two = lambda df, k: df.groupBy(k).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(k)
         hot_store = store.join(hot.select("fp"), "fp", "left_semi")
         hot_met = hot_old.join(two(hot_old, "k"), "k", "left_semi").select("fp", "k").join(hot_store.join(two(hot_store, "k2"), "k2", "left_semi"), "fp")
-        met = old.filter("hot is null").select("fp", "k").join(store, "fp").select("k", "k2").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"))
+        met = store.join(bounded(old.filter("hot is null").select("fp", "k")), "fp").select("k", "k2").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"))
         met = Cut(met, "met").df
         once = met.filter("c = 1")
         rest = once.join(hot_old.select("k").distinct(), "k", "left_semi").select("k", "k2").union(once.join(short, "k", "left_semi").select("k", "k2"))
@@ -405,7 +411,7 @@ class History:
         return parts
 
 
-def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 4) -> DataFrame:
+def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 2) -> DataFrame:
     """(id, accepted_id, edits) of all duplicates, feeding the rows to a fresh history in consecutive batches of the order column.
 
     The outcome does not depend on how many batches there are: texts are settled strictly in order.
