@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import contamination, dedup_history, packing
+from . import contamination, dedup_history, neighbours, packing, pii
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("id", "accepted_id").alias("episode_a"), F.greatest("id", "accepted_id").alias("episode_b"))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(load(spark, d, "stored_embeddings")).select("id", "neighbour", "cosine", "rank")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(load(spark, d, "stored_embeddings"), k=10, least=0.9)
+    return near.select(F.least("id", "neighbour").alias("vector_a"), F.greatest("id", "neighbour").alias("vector_b")).distinct()
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     budgets = [(r[0], r[1]) for r in load(spark, d, "context_budgets").select("budget_name", "capacity_tokens").distinct().orderBy("budget_name").limit(100).collect()]
     return packing.pack_documents(load(spark, d, "documents"), budgets)
@@ -27,7 +36,23 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_spans": p9_spans}
+def p9_removal(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.removal_spans(p9_spans(spark, d))
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(load(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_spans(spark, d).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_pii(load(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p9_removal": p9_removal, "p10_found": p10_found, "p10_spans": p10_spans, "p10_redacted": p10_redacted, "p8_packed": p8_packed, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {}
 #: Every passage's n-word phrases against every document's, as word lists.
 SQL["p9_found"] = """
