@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import contamination, dedup_history, neighbours, packing, pii
+from . import contamination, dedup_history, names, neighbours, packing, pii
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,6 +14,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.least("id", "accepted_id").alias("episode_a"), F.greatest("id", "accepted_id").alias("episode_b"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    people = load(spark, d, "entities").filter("entity_type = 'person'").select("id", F.col("canonical_name").alias("name"))
+    return names.link_people(people, load(spark, d, "entity_aliases").select("entity_id", "alias"), load(spark, d, "episodes").select("actor"))
+
+
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(load(spark, d, "stored_embeddings")).select("id", "neighbour", "cosine", "rank")
 
@@ -52,7 +57,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact_pii(load(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p9_removal": p9_removal, "p10_found": p10_found, "p10_spans": p10_spans, "p10_redacted": p10_redacted, "p8_packed": p8_packed, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p9_removal": p9_removal, "p10_found": p10_found, "p10_spans": p10_spans, "p10_redacted": p10_redacted, "p8_packed": p8_packed, "p9_found": p9_found, "p9_spans": p9_spans}
 SQL: dict[str, str] = {}
 #: Every passage's n-word phrases against every document's, as word lists.
 SQL["p9_found"] = """
