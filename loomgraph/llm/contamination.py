@@ -88,7 +88,7 @@ class FMIndex:
         sa = suffix_array(s)
         bwt = s[sa - 1]
         self.n = len(s)
-        self.before = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=int(s.max()) + 2))))
+        self.before = np.concatenate(([0], np.cumsum(np.bincount(s))))
         self.tree = WaveletMatrix(bwt)
         kept = sa % SAMPLE == 0
         self.kept, self.kept_before = kept, np.concatenate(([0], np.cumsum(kept)))
