@@ -185,12 +185,9 @@ SCREEN = "kind string, part int, fp long, k long, k2 long, bits binary"
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, fp, k, bits) rows, one partition of fingerprints after the other, its filters (fp null) first: 'old' rows may be in
-    history, 'pair' and 'big' rows share a fingerprint within the batch, the 'bits' row is the batch's own filter."""
+    """(part, fp, k, bits) rows, filters having fp null, of whole partitions of fingerprints: 'old' rows may be in history, 'pair' and 'big' rows share a fingerprint within the batch, the 'bits' row is the batch's own filter."""
 
-    def flush(part: int, filters: list, fps: list, ks: list) -> pa.RecordBatch | None:
-        if not fps:
-            return None
+    def flush(part: int, filters: list, fps: list, ks: list) -> pa.RecordBatch:
         fp, k = np.concatenate(fps), np.concatenate(ks)
         u = fp.view(np.uint64)
         hit = np.zeros(len(u), bool)
@@ -222,25 +219,26 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[c.split()[0] for c in SCREEN.split(", ")],
         )
 
-    now, filters, fps, ks = None, [], [], []
+    # a task holds its partitions whole, 16 bytes a row, and parts them itself: cheaper than a sort before
+    parts, fps, ks, filters = [], [], [], {}
     for batch in batches:
-        part = batch.column(0).to_numpy(zero_copy_only=False)
-        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
-        for a, b in zip(edge[:-1], edge[1:]):
-            if part[a] != now:
-                if now is not None and (out := flush(now, filters, fps, ks)):
-                    yield out
-                now, filters, fps, ks = int(part[a]), [], [], []
-            piece = batch.slice(a, b - a)
-            bits = piece.column(3)
-            if bits.null_count < len(bits):
-                filters += [Bloom(np.frombuffer(x, np.uint8)) for x in bits.to_pylist() if x is not None]
-            rows = piece.filter(piece.column(1).is_valid())
-            if rows.num_rows:
-                fps.append(rows.column(1).to_numpy(zero_copy_only=False))
-                ks.append(rows.column(2).to_numpy(zero_copy_only=False))
-    if now is not None and (out := flush(now, filters, fps, ks)):
-        yield out
+        bits = batch.column(3)
+        if bits.null_count < len(bits):
+            for p, x in zip(batch.column(0).to_pylist(), bits.to_pylist()):
+                if x is not None:
+                    filters.setdefault(p, []).append(Bloom(np.frombuffer(x, np.uint8)))
+            batch = batch.filter(batch.column(1).is_valid())
+        if batch.num_rows:
+            for held, i in ((parts, 0), (fps, 1), (ks, 2)):
+                held.append(batch.column(i).to_numpy(zero_copy_only=False))
+    if not parts:
+        return
+    part, fp, k = np.concatenate(parts), np.concatenate(fps), np.concatenate(ks)
+    by = np.argsort(part, kind="stable")
+    part, fp, k = part[by], fp[by], k[by]
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    for x, y in zip(edge[:-1], edge[1:]):
+        yield flush(int(part[x]), filters.get(int(part[x]), []), [fp[x:y]], [k[x:y]])
 
 
 LINK = "k long, at long, k2 long, at2 long, edits int"
@@ -304,8 +302,7 @@ class History:
         bloom = self._read("bloom", "part int, bits binary")
         if bloom is not None:
             rows = rows.unionByName(bloom.select("part", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("k"), "bits"))
-        by_part = rows.repartition("part").sortWithinPartitions(F.col("part"), F.col("bits").isNull())
-        screened_cut = Cut(by_part.mapInArrow(_screen, SCREEN), "screened")
+        screened_cut = Cut(rows.repartition("part").mapInArrow(_screen, SCREEN), "screened")
         screened = screened_cut.df
 
         short = reps.filter("n <= 10").select("k")
