@@ -146,7 +146,7 @@ def _carried(parts: DataFrame, keys: list[str], gaps_only: bool) -> DataFrame:
     match = F.col("_cs") == F.col("_slice")
     for i, k in enumerate(keys):
         match = match & F.col(f"_c{i}").eqNullSafe(F.col(k))
-    joined = parts.join(carry, match).filter("_carry is null or until_us > _carry")
+    joined = parts.join(carry, match).filter("_carry is null or until_us > _carry").select(*parts.columns, "_carry")
     in_slice = Window.partitionBy(*keys, "_slice").orderBy("from_us")
     # within a range the periods are disjoint already, so the covered end before each is its neighbour's or the carry
     seen = joined.withColumn("_prev", F.greatest(F.lag("until_us").over(in_slice), F.col("_carry")))
