@@ -4,10 +4,9 @@ Each document is measured once with a public tokenizer. Documents longer than a
 rest, which is packed like any other document; no other document is cut. A shard (a hash range of document ids, thousands of
 documents) is packed by one task:
 
-1. fill: largest first, each into the fullest container it still fits (best fit decreasing);
-2. two for one: with documents held back from the fill, a container's smallest document is taken out if two unpacked ones
-   fit the widened gap more tightly; what was taken out returns to the unpacked ones;
-3. the rest is packed as in 1, again with 2, until nothing is left.
+1. a container is filled greedily: the largest document left, then again and again the largest that still fits;
+2. two for one: if space is left, its smallest document makes way for the two unpacked ones that fill the widened gap most
+   tightly, if that is tighter than before; the one taken out returns to the unpacked.
 
 Null and empty texts have no tokens and are given container -1. Documents without an id are skipped; repeated ids are one document.
 """
@@ -15,10 +14,11 @@ Null and empty texts have no tokens and are given container -1. Documents withou
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Documents one task packs; what a shard wastes is at most one container that stays part empty.
 SHARD_DOCS = 4_000
-#: Share of the documents, the smallest, that are held back from the fill for the two-for-one step.
-HELD = 0.5
-
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -58,61 +55,64 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, path: str) -> Dat
     return rows.mapInPandas(run, "doc_id long, n_tokens long")
 
 
-def best_fit(items: list[tuple[int, object]], capacity: int, bins: list[list], gaps: list[tuple[int, int]]) -> None:
-    """items: (size, name), largest first; gaps: (free space, bin number), ordered."""
-    for size, name in items:
-        i = bisect_right(gaps, (size, -1))
-        if i < len(gaps):
-            free, b = gaps.pop(i)
-        else:
-            b, free = len(bins), capacity
-            bins.append([])
-        bins[b].append((size, name))
-        if free > size:
-            insort(gaps, (free - size, b))
-
-
-def two_for_one(bins: list[list], gaps: list[tuple[int, int]], rest: list[tuple[int, object]]) -> None:
-    """Replaces a bin's smallest document by the two unpacked ones that leave the least of its widened gap. rest: ordered by size."""
-    for k, (free, b) in enumerate(list(gaps)):
-        if len(rest) < 2:
-            break
-        smallest = min(range(len(bins[b])), key=lambda i: bins[b][i][0])
-        out = bins[b][smallest]
-        room = free + out[0]
-        # two pointers: the best sum up to room
-        lo, hi, best = 0, len(rest) - 1, None
-        while lo < hi:
-            total = rest[lo][0] + rest[hi][0]
-            if total > room:
-                hi -= 1
-                continue
-            if best is None or total > best[0]:
-                best = (total, lo, hi)
-                if total == room:
-                    break
-            lo += 1
-        if best is None or best[0] <= out[0]:
-            continue
-        total, lo, hi = best
-        second, first = rest.pop(hi), rest.pop(lo)
-        bins[b].pop(smallest)
-        bins[b] += [second, first]
-        insort(rest, out)
-        gaps[k] = (room - total, b)
-    gaps[:] = sorted(g for g in gaps if g[0] > 0)
-
-
-def pack(items: list[tuple[int, object]], capacity: int, held: float = HELD) -> list[list[tuple[int, object]]]:
+class Pool:
+    """Unpacked documents by size. Sizes are at most the capacity, so searches run over distinct sizes, however many documents there are."""
+
+    def __init__(self, items: list[tuple[int, object]]):
+        self.names: dict[int, list] = {}
+        for size, name in sorted(items, reverse=True):
+            self.names.setdefault(size, []).append(name)
+        self.sizes = sorted(self.names)
+
+    def take(self, size: int) -> object:
+        names = self.names[size]
+        name = names.pop()
+        if not names:
+            del self.names[size]
+            self.sizes.pop(bisect_left(self.sizes, size))
+        return name
+
+    def put(self, size: int, name: object) -> None:
+        if size not in self.names:
+            insort(self.sizes, size)
+        self.names.setdefault(size, []).append(name)
+
+    def largest(self, room: int) -> int:
+        """The largest size up to room, 0 if there is none."""
+        i = bisect_right(self.sizes, room)
+        return self.sizes[i - 1] if i else 0
+
+    def pair(self, room: int) -> tuple[int, int] | None:
+        """The two sizes of greatest sum up to room."""
+        d = np.array(self.sizes[: bisect_right(self.sizes, room)])
+        if not len(d):
+            return None
+        j = np.searchsorted(d, room - d, "right") - 1
+        i = np.arange(len(d))
+        # two of one size need two documents of it; else the next smaller size is taken
+        single = (j == i) & np.array([len(self.names[x]) < 2 for x in d.tolist()])
+        j = np.where(single, j - 1, j)
+        total = np.where(j >= 0, d + d[j], 0)
+        best = int(total.argmax())
+        return (int(d[best]), int(d[j[best]])) if total[best] else None
+
+
+def pack(items: list[tuple[int, object]], capacity: int) -> list[list[tuple[int, object]]]:
     """Bins of (size, name) with sizes 1..capacity; all items are packed, none is cut."""
-    todo = sorted(items, reverse=True)
-    bins: list[list] = []
-    gaps: list[tuple[int, int]] = []
-    keep = int(len(todo) * (1 - held))
-    best_fit(todo[:keep], capacity, bins, gaps)
-    rest = sorted(todo[keep:])
-    two_for_one(bins, gaps, rest)
-    best_fit(rest[::-1], capacity, bins, gaps)
+    pool, bins = Pool(items), []
+    while pool.sizes:
+        bin_, room = [], capacity
+        while size := pool.largest(room):
+            bin_.append((size, pool.take(size)))
+            room -= size
+        if room and len(bin_) > 1:
+            size, name = bin_[-1]  # filled largest first, so the last is the smallest
+            two = pool.pair(room + size)
+            if two and sum(two) > size:
+                bin_.pop()
+                bin_ += [(x, pool.take(x)) for x in two]
+                pool.put(size, name)
+        bins.append(bin_)
     return bins
 
 
