@@ -129,9 +129,10 @@ SHAPE = "id string, at long, cls binary, n int, words binary, fps array<long>"
 BATCH_BITS = 50
 
 
-def _shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = [words_of(t) for t in pdf["content"]]
+def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, at, content) -> SHAPE; columns are laid out as Arrow buffers, without a Python object for each row."""
+    for batch in batches:
+        texts = [words_of(t) for t in batch.column(2).to_pylist()]
         lengths = np.array([len(t) for t in texts], np.int64)
         flat = [w for t in texts for w in t]
         codes, uniques = pd.factorize(np.array(flat, object))
@@ -139,20 +140,33 @@ def _shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         strong = np.array([len(u) >= 12 or sum(c.isdigit() for c in u) >= 4 for u in uniques], bool)
         hashes = own[codes] if len(codes) else np.zeros(0, np.uint64)
         docs, fps = fingerprints(lengths, hashes, strong[codes] if len(codes) else np.zeros(0, bool))
-        ends, cuts = np.cumsum(lengths), np.searchsorted(docs, np.arange(len(texts) + 1))
-        raw = [hashes[e - k : e].tobytes() for e, k in zip(ends, lengths)]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        cuts = np.searchsorted(docs, np.arange(len(texts) + 1)).astype(np.int32)
+        raw = hashes.tobytes()
+        cls = [hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
         short = (hashes >> np.uint64(32)).astype(np.uint32)
-        packed = [short[e - k : e].tobytes() for e, k in zip(ends, lengths)]
-        yield pd.DataFrame(
-            {
-                "id": pdf["id"],
-                "at": pdf["at"],
-                "cls": [hashlib.blake2b(r, digest_size=16).digest() for r in raw],
-                "n": lengths.astype(np.int32),
-                "words": packed,
-                "fps": [fps[a:b].astype(np.int64) for a, b in zip(cuts, cuts[1:])],
-            }
-        )[lengths > 0]
+        words = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
+        found = pa.ListArray.from_arrays(pa.array(cuts), pa.array(fps.astype(np.int64)))
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(lengths.astype(np.int32)), words, found], names=["id", "at", "cls", "n", "words", "fps"])
+        yield out.filter(pa.array(lengths > 0))
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, fps) -> one row for each partition of fingerprints and batch, its numbers side by side in two blobs: a shuffle of few, long rows."""
+    for batch in batches:
+        lists = batch.column(1)
+        counts = np.diff(lists.offsets.to_numpy())
+        fp = lists.flatten().to_numpy(zero_copy_only=False)
+        k = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
+        part = fp.view(np.uint64) % np.uint64(PARTITIONS)
+        by = np.argsort(part, kind="stable")
+        part, fp, k = part[by], fp[by], k[by]
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+        spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(part[x]) for x, _ in spans], pa.int32()), pa.array([fp[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([k[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([None] * len(spans), pa.binary())],
+            names=["part", "fps", "ks", "bits"],
+        )
 
 
 class Bloom:
@@ -185,7 +199,8 @@ SCREEN = "kind string, part int, fp long, k long, k2 long, bits binary"
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, fp, k, bits) rows, filters having fp null, of whole partitions of fingerprints: 'old' rows may be in history, 'pair' and 'big' rows share a fingerprint within the batch, the 'bits' row is the batch's own filter."""
+    """Blobs of fingerprints and filters (those with bits), partition by partition: 'old' rows may be in history, 'pair' and 'big' rows
+    share a fingerprint within the batch, the 'bits' row is the batch's own filter."""
 
     def flush(part: int, filters: list, fps: list, ks: list) -> pa.RecordBatch:
         fp, k = np.concatenate(fps), np.concatenate(ks)
@@ -219,26 +234,20 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[c.split()[0] for c in SCREEN.split(", ")],
         )
 
-    # a task holds its partitions whole, 16 bytes a row, and parts them itself: cheaper than a sort before
-    parts, fps, ks, filters = [], [], [], {}
+    # a task holds its partitions whole, 16 bytes a fingerprint
+    held: dict[int, tuple[list, list, list]] = {}
     for batch in batches:
-        bits = batch.column(3)
-        if bits.null_count < len(bits):
-            for p, x in zip(batch.column(0).to_pylist(), bits.to_pylist()):
-                if x is not None:
-                    filters.setdefault(p, []).append(Bloom(np.frombuffer(x, np.uint8)))
-            batch = batch.filter(batch.column(1).is_valid())
-        if batch.num_rows:
-            for held, i in ((parts, 0), (fps, 1), (ks, 2)):
-                held.append(batch.column(i).to_numpy(zero_copy_only=False))
-    if not parts:
-        return
-    part, fp, k = np.concatenate(parts), np.concatenate(fps), np.concatenate(ks)
-    by = np.argsort(part, kind="stable")
-    part, fp, k = part[by], fp[by], k[by]
-    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-    for x, y in zip(edge[:-1], edge[1:]):
-        yield flush(int(part[x]), filters.get(int(part[x]), []), [fp[x:y]], [k[x:y]])
+        for part, fps, ks, bits in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            own = held.setdefault(part, ([], [], []))
+            if bits is not None:
+                own[2].append(Bloom(np.frombuffer(bits, np.uint8)))
+            else:
+                own[0].append(np.frombuffer(fps, np.int64))
+                own[1].append(np.frombuffer(ks, np.int64))
+    for part in list(held):
+        fps, ks, filters = held.pop(part)
+        if fps:
+            yield flush(part, filters, fps, ks)
 
 
 LINK = "k long, at long, k2 long, at2 long, edits int"
@@ -286,7 +295,7 @@ class History:
     def add(self, texts: DataFrame) -> DataFrame:
         """Takes (id, at, content) rows that all come after the history; gives (id, accepted_id, edits) of the duplicates."""
         number = F.monotonically_increasing_id() + F.lit(self.batches << BATCH_BITS)
-        shaped_cut = Cut(texts.mapInPandas(_shape, SHAPE).withColumn("k", number), "shaped")
+        shaped_cut = Cut(texts.select("id", "at", "content").mapInArrow(_shape, SHAPE).withColumn("k", number), "shaped")
         shaped = shaped_cut.df
         # exact copies collapse to their earliest; only that one is compared any further
         firsts = shaped.groupBy("cls").agg(F.min(F.struct("at", "id", "k")).alias("first")).select("cls", "first.id", "first.k")
@@ -297,12 +306,12 @@ class History:
         reps_cut = Cut(shaped.drop("cls").join(copies, "k", "left_anti"), "reps")
         reps = reps_cut.df
 
-        part = F.pmod("fp", F.lit(PARTITIONS)).cast("int").alias("part")
-        rows = reps.select(F.explode("fps").alias("fp"), "k").select(part, "fp", "k", F.lit(None).cast("binary").alias("bits"))
+        blobs = reps.select("k", "fps").mapInArrow(_parted, "part int, fps binary, ks binary, bits binary")
         bloom = self._read("bloom", "part int, bits binary")
         if bloom is not None:
-            rows = rows.unionByName(bloom.select("part", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("k"), "bits"))
-        screened_cut = Cut(rows.repartition("part").mapInArrow(_screen, SCREEN), "screened")
+            none = F.lit(None).cast("binary")
+            blobs = blobs.unionByName(bloom.select("part", none.alias("fps"), none.alias("ks"), "bits"))
+        screened_cut = Cut(blobs.repartition("part").mapInArrow(_screen, SCREEN), "screened")
         screened = screened_cut.df
 
         short = reps.filter("n <= 10").select("k")

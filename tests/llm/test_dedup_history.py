@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ def test_near_equal_texts_share_fingerprints():
         b = list(a)
         for at in r.sample(range(n), n // 10):
             b[at] = "changed"
-        got = next(H._shape(iter([pd.DataFrame({"id": ["a", "b"], "at": [0, 1], "content": [" ".join(a), " ".join(b)]})])))
+        got = next(H._shape(iter([pa.RecordBatch.from_pydict({"id": ["a", "b"], "at": [0, 1], "content": [" ".join(a), " ".join(b)]})]))).to_pandas()
         common = len(set(got["fps"].iloc[0]) & set(got["fps"].iloc[1]))
         assert common >= 1
 
@@ -65,11 +65,6 @@ def brute(rows):
     return out
 
 
-@pytest.fixture
-def small_groups(monkeypatch):
-    yield monkeypatch
-
-
 @pytest.mark.parametrize("paired,batches", [(512, 3), (3, 1)])
 def test_equals_brute_force(spark, monkeypatch, paired, batches):
     monkeypatch.setattr(H, "PAIRED_GROUP", paired)
