@@ -11,26 +11,11 @@ are never known. Of several known ones the latest start wins, then the greatest
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Cut
-from .skew import HOT_ROWS, SALTS, hot_keys, salted_join, slice_column
-
-
-def running_count(rows: DataFrame, key: str, order: str, tie: str, count: str, out: str, hot_rows: int = HOT_ROWS, slices: int = SALTS) -> DataFrame:
-    """Adds the running sum of count within key by (order, tie); a hot key is cut into ranges that are summed apart."""
-    hot = hot_keys(rows, key, hot_rows)
-    sliced = slice_column(rows, key, order, hot, slices)
-    local = F.sum(count).over(Window.partitionBy(key, "_slice").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0))
-    if not hot:
-        return sliced.withColumn(out, local).drop("_slice")
-    sums = sliced.filter(F.col(key).isin(hot)).groupBy(key, "_slice").agg(F.sum(count).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # len(hot) x slices rows at most
-    offset = F.broadcast(sums.select(F.col(key).alias("_ok"), F.col("_slice").alias("_os"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    joined = sliced.withColumn("_local", local).join(offset, (F.col(key) == F.col("_ok")) & (F.col("_slice") == F.col("_os")), "left")
-    return joined.withColumn(out, F.col("_local") + F.coalesce("_off", F.lit(0))).drop("_local", "_off", "_ok", "_os", "_slice")
+from .skew import HOT_ROWS, running_count, salted_join
 
 
 def as_known(events: DataFrame, facts: DataFrame, entity: str, event_time: str, fact_entity: str, fact_id: str, known_from: str, known_until: str, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -78,7 +78,9 @@ def sampled_delta(g: Graph, since: str, most: int = 500) -> DataFrame:
     total = counts.agg(F.sum("n").alias("total"))
     share = counts.crossJoin(F.broadcast(total)).select("item", F.when(F.col("total") <= most, F.col("n")).otherwise(F.greatest(F.lit(1), F.floor(most * F.col("n") / F.col("total") + 0.5))).cast("long").alias("take"))
     w = Window.partitionBy("item").orderBy(F.desc("at"), F.desc("id"))
-    return rows.withColumn("r", F.row_number().over(w)).join(F.broadcast(share), "item").filter("r <= take").select("item", "id")
+    # no kind takes more than `most`: a fixed bound, which is applied before the rows are shuffled
+    newest = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
+    return newest.join(F.broadcast(share), "item").filter("r <= take").select("item", "id")
 
 
 def unknown_ids(g: Graph, proposed: DataFrame) -> DataFrame:

@@ -166,7 +166,8 @@ def anchored(g: Graph, name: str, hops: int = 2, valid: str | None = None) -> Da
 
     anchor = resolve_entities(g, g.spark.createDataFrame([(name,)], "name string")).select(F.col("entity_id").alias("id"), F.lit(1.0).alias("seed_score"))
     walked = reach(g, anchor, hops, valid)
-    top = walked.withColumn("tier", F.least(F.col("hops"), F.lit(2))).withColumn("best", F.max("confidence").over(Window.partitionBy("tier")))
+    tiers = walked.withColumn("tier", F.least(F.col("hops"), F.lit(2)))
+    top = tiers.join(F.broadcast(tiers.groupBy("tier").agg(F.max("confidence").alias("best"))), "tier")  # two rows
     share = F.when(F.col("best") == 0, 1.0).otherwise(F.col("confidence") / F.col("best"))
     scored = top.select("id", "tier", F.round(F.when(F.col("tier") == 1, 0.5 + 0.5 * share).otherwise(0.5 * share), 6).alias("score"))
     return anchor.select("id", F.lit(0).alias("tier"), F.lit(1.0).alias("score")).unionByName(scored)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, active, at, known_at, valid_at
+from .skew import HOT_ROWS, running_count
 
 
 def find_edges(g: Graph, source: str | None = None, target: str | None = None, relation: str | None = None, kind: str | None = None, valid: str | None = None, as_of: str | None = None, include_invalidated: bool = False) -> DataFrame:
@@ -27,10 +28,14 @@ def snapshot(g: Graph, moment: str) -> DataFrame:
     return nodes.unionByName(active(g.edges).filter(valid_at(at(moment))).select(F.lit("edge").alias("item"), "id"))
 
 
-def fact_history(g: Graph) -> DataFrame:
-    """All edges with their place in the history of their pair: open past first, then by start and creation."""
-    w = Window.partitionBy("source_id", "target_id").orderBy(F.col("valid_from").asc_nulls_first(), "created_at", "id")
-    return g.edges.select("source_id", "target_id", "id", "relation_type", F.row_number().over(w).alias("position"))
+def fact_history(g: Graph, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All edges with their place in the history of their pair: open past first, then by start and creation.
+
+    The place is a running count, so the history of one overlong pair is counted in several tasks.
+    """
+    start = F.coalesce(F.unix_micros(F.col("valid_from").cast("timestamp")), F.lit(-(2**62)))
+    rows = g.edges.select("source_id", "target_id", "id", "relation_type", F.concat_ws("|", "source_id", "target_id").alias("_pair"), start.alias("_us"), F.struct("created_at", "id").alias("_tie"), F.lit(1).alias("_one"))
+    return running_count(rows, "_pair", "_us", "_tie", "_one", "position", hot_rows).select("source_id", "target_id", "id", "relation_type", "position")
 
 
 def entity_history(g: Graph, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph, active, at, valid_at
 from ..session import Cut
+from .skew import HOT_ROWS, running_count
 
 WALKED = ["likely_owner_of", "co_changes_with"]
 
@@ -90,10 +91,11 @@ def top_co_changes(g: Graph, k: int = 5) -> DataFrame:
     return pairs.select("entity_id", other.alias("other"), "weight", "id", F.row_number().over(w).alias("rank")).filter(F.col("rank") <= k).drop("id")
 
 
-def owner_links(g: Graph) -> DataFrame:
-    """(entity_id, edge_id, rank): active owner edges of each entity in either direction, latest start first."""
-    w = Window.partitionBy("entity_id").orderBy(F.col("valid_from").desc_nulls_last(), "id")
-    return active(g.touching).filter("relation_type = 'likely_owner_of'").select("entity_id", F.col("id").alias("edge_id"), F.row_number().over(w).alias("rank"))
+def owner_links(g: Graph, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(entity_id, edge_id, rank): active owner edges of each entity in either direction, latest start first, open starts last."""
+    late = -F.coalesce(F.unix_micros(F.col("valid_from").cast("timestamp")), F.lit(-(2**62)))
+    rows = active(g.touching).filter("relation_type = 'likely_owner_of'").select("entity_id", F.col("id").alias("edge_id"), late.alias("_us"), F.lit(1).alias("_one"))
+    return running_count(rows, "entity_id", "_us", "edge_id", "_one", "rank", hot_rows).select("entity_id", "edge_id", "rank")
 
 
 def nodes_and_edges(g: Graph, valid: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from loomgraph.operators.asof import as_known
 from loomgraph.operators.hierarchy import hierarchy, paths, walk_down
 from loomgraph.operators.intervals import IntervalMap, coverage
 from loomgraph.operators.orphans import ForeignKey, Table, orphans
-from loomgraph.operators.skew import salted_join
+from loomgraph.operators.skew import running_count, salted_join
 
 
 def brute_periods(windows):
@@ -146,3 +146,13 @@ def test_salted_join_is_a_join(spark, how):
     right = spark.createDataFrame([("h", 1), ("k0", 2), ("zz", 3)], "rk string, w int")
     want = sorted(map(str, (lambda d: d if how in ("left_semi", "left_anti") else d.drop("rk"))(left.join(right, left["k"] == right["rk"], how)).collect()))
     assert sorted(map(str, salted_join(left, right, "k", "rk", how, hot_rows=5, salts=4).collect())) == want
+
+
+def test_running_count_of_a_hot_key(spark):
+    r = random.Random(3)
+    rows = [(r.choice("hhhx"), r.randint(0, 30), i, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o int, t int, one int")
+    for hot in (20, 1000):
+        got = {x["t"]: x["n"] for x in running_count(df, "k", "o", "t", "one", "n", hot, 5).collect()}
+        for k in "hx":
+            assert [got[t] for _, o, t, _ in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))] == list(range(1, 1 + sum(x[0] == k for x in rows)))
