@@ -305,6 +305,9 @@ class History:
         copies = bounded(Cut(shaped.select("k").join(new.select("k"), "k", "left_anti"), "copies").df)
         reps_cut = Cut(shaped.drop("cls").join(copies, "k", "left_anti"), "reps")
         reps = reps_cut.df
+        # from here on only the names of the other members are needed
+        members = Cut(shaped.select("id", "cls"), "members").df
+        shaped_cut.drop()
 
         blobs = reps.select("k", "fps").mapInArrow(_parted, "part int, fps binary, ks binary, bits binary")
         bloom = self._read("bloom", "part int, bits binary")
@@ -321,6 +324,7 @@ class History:
         dups = self._resolve(reps, against, links, leaders)
         kept = reps.join(bounded(dups.select("k")), "k", "left_anti")
         kept.write.parquet(f"{self.path}/accepted/batch={self.batches}")
+        reps_cut.drop()
         screened.filter("kind = 'bits'").select("part", "bits").write.parquet(f"{self.path}/bloom/batch={self.batches}")
         big.select("fp").distinct().write.parquet(f"{self.path}/big/batch={self.batches}")
         # every member of a class goes with its first text, or to the accepted text that one repeats
@@ -331,11 +335,11 @@ class History:
         outcome = Cut(outcome, "outcome").df
         outcome.select("cls", "accepted").write.parquet(f"{self.path}/classes/batch={self.batches - 1}")
         if known is not None:
-            outcome = outcome.unionByName(firsts.join(known, "cls").select("cls", "accepted", F.lit(0).alias("edits")))
-        found = shaped.select("id", "cls").join(outcome, "cls").filter("id <> accepted").select("id", F.col("accepted").alias("accepted_id"), "edits")
+            again = members.select("cls").distinct().join(known, "cls")
+            outcome = outcome.unionByName(again.select("cls", "accepted", F.lit(0).alias("edits")))
+        found = members.join(outcome, "cls").filter("id <> accepted").select("id", F.col("accepted").alias("accepted_id"), "edits")
         found = Cut(found.distinct(), "found").df
-        for c in (shaped_cut, reps_cut, screened_cut):
-            c.drop()
+        screened_cut.drop()
         release(self.spark)
         return found
 
