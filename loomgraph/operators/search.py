@@ -93,6 +93,32 @@ def discussion_confidence(g: Graph, query: str, limit: int = 20) -> DataFrame:
     return rows.crossJoin(F.broadcast(best)).select("id", "source_type", F.round(0.75 * share + 0.25 * prior, 6).alias("confidence"))
 
 
+def episode_fallback(g: Graph, terms: list[str], limit: int = 10) -> DataFrame:
+    """(id, canonical_name, rank): entities behind episodes that hold all terms, better the more their own name is spoken of.
+
+    -0.5 if the name holds a term, -0.45 if its stem occurs five times or more in those episodes, -0.35 if it does at all, else -0.3.
+    """
+    body = F.lower("content")
+    ep = g.episodes.filter("status = 'active'").select(F.col("id").alias("episode_id"), body.alias("body"))
+    for t in terms:
+        ep = ep.filter(F.col("body").contains(t.lower()))
+    e = g.entities.filter("status = 'active'").select(F.col("id").alias("entity_id"), "canonical_name", F.lower(F.regexp_extract("canonical_name", r"([^/]+?)(\.[A-Za-z0-9]+)?$", 1)).alias("stem"))
+    met = g.entity_evidence.select("entity_id", "episode_id").distinct().join(ep, "episode_id").join(e, "entity_id")
+    times = F.when(F.length("stem") > 0, (F.length("body") - F.length(F.replace("body", F.col("stem"), F.lit("")))) / F.length("stem")).otherwise(0)
+    rows = met.groupBy("entity_id", "canonical_name").agg(F.sum(times).alias("n"))
+    named = F.lit(False)
+    for t in terms:
+        named = named | F.lower("canonical_name").contains(t.lower())
+    rank = F.when(named, -0.5).when(F.col("n") >= 5, -0.45).when(F.col("n") >= 1, -0.35).otherwise(-0.3)
+    return rows.select(F.col("entity_id").alias("id"), "canonical_name", rank.alias("rank")).orderBy("rank", F.length("canonical_name"), "canonical_name", "id").limit(limit)
+
+
+def shares(ranks: DataFrame) -> DataFrame:
+    """Adds share: a rank's size over the best one's."""
+    best = ranks.agg(F.min("rank").alias("best"))
+    return ranks.crossJoin(F.broadcast(best)).withColumn("share", F.when(F.col("best") == 0, 0.0).otherwise(F.round(F.abs("rank") / F.abs("best"), 6))).drop("best")
+
+
 def cosine(a: str, b: str) -> Column:
     """Clamped to [0, 1]; 0 for empty or zero vectors and different lengths. Sums run in element order, in doubles."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))

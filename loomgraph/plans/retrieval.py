@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..graph import Graph, active
-from ..operators import search, traverse
+from ..operators import pages, search, traverse
 from .graph_queries import NOW_SQL, ONCE, days_sql, valid_sql
 
 QUERIES, SQL = {}, {}
@@ -124,3 +124,10 @@ query(
     "select id, 0 as tier, 1.0::double as score from seeds union all select id, least(hops, 2), round(case when hops = 1 then 0.5 + 0.5 * confidence / max(confidence) over (partition by least(hops, 2)) else 0.5 * confidence / max(confidence) over (partition by least(hops, 2)) end, 6) from walked",
     reach_sql("seeds as (select id, 1.0 seed_score from ent where canonical_name = (select min(canonical_name) from ent where entity_type = 'file') order by created_at, id limit 1)"),
 )(lambda g: search.anchored(g, g.entities.filter("entity_type = 'file'").agg(F.min("canonical_name")).first()[0]))
+_FALL = """ep as (select id episode_id, lower(content) body from epi where status = 'active' and lower(content) like '%fingerprint%' and lower(content) like '%lattice%'),
+mt as (select ev.entity_id, canonical_name, sum(case when length(stem) > 0 then (length(body) - length(replace(body, stem, ''))) / length(stem) else 0 end) n from ev join ep using (episode_id) join (select id entity_id, canonical_name, lower(regexp_extract(canonical_name, '([^/]+?)(\\.[A-Za-z0-9]+)?$', 1)) stem from ent where status = 'active') using (entity_id) group by 1, 2),
+fb as (select entity_id as id, canonical_name, case when lower(canonical_name) like '%fingerprint%' or lower(canonical_name) like '%lattice%' then -0.5 when n >= 5 then -0.45 when n >= 1 then -0.35 else -0.3 end::double as "rank" from mt)"""
+query("T11_J15_episode_fallback", 'select * from fb order by "rank", length(canonical_name), canonical_name, id limit 10', _FALL)(lambda g: search.episode_fallback(g, ["fingerprint", "lattice"]))
+query("V17_rank_shares", 'select id, "rank", round(abs("rank") / abs((select min("rank") from fd)), 6) as share from fd', _D)(lambda g: search.shares(text.bm25(g.edges, "id", F.col("fact"), P)))
+query("V10_reindexed")(lambda g: pages.reindexed(g, "hash-words-64"))
+query("T8_search_pages", 'select id, "rank" from fg', fts("fg", "(select id, canonical_name, summary from ent where entity_type = 'module')", E_TEXT, [["cursor"]]))(lambda g: text.bm25(g.entities.filter("entity_type = 'module'"), "id", search.entity_text(), text.query_phrases("cursor")))
