@@ -4,10 +4,11 @@ store for what the filters let through, and verification of the shared words.
 Near-equal: word edits (insert, delete, replace) at most a tenth of the longer text's words; words are split at white space and
 compared in lower case without punctuation. Texts under ten words are therefore near-equal only if equal.
 
-Nothing near-equal is missed by the fingerprints. k edits leave N - k words of the longer text in k + 1 common runs, so with
-k <= N / 10 both texts share t >= N - 4 - 5 k shingles of five words. All shingles are put into one fixed order and winnowed to
-the first of them: leaving out the last t - 2 of either text still leaves two common ones (one where t is 1). Shingles of everyday words come last in
-that order, so phrases of the house style, which form huge groups, are what falls away. (Winnowing by small windows was tried:
+Nothing near-equal is missed by the fingerprints. Each of k edits changes at most five of the five-word shingles, so of D distinct
+ones at least D - 5 k are common, and never none: the longer text has N - 4 places of which k <= N / 10 edits change 5 k at most. All
+shingles are put into one fixed order, and each text is winnowed to the first 5 k + 2 of them; the two first common ones are then
+among these in both texts (the first, where only one is sure: such texts are marked few). Shingles of everyday words come last
+in the order, so phrases of the house style, which form huge groups, are what falls away. (Winnowing by small windows was tried:
 it must keep a pick from every window, also from those that hold nothing but such phrases.)
 
 Rows without an id, and null or wordless contents, are no episodes here. Repeated ids are one episode. A null time sorts last. Ties
@@ -82,20 +83,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _least_common(lengths: np.ndarray) -> np.ndarray:
-    """Shingles that two near-equal texts have in common at least, the longer having from n to n / 0.9 words."""
-    top = int(lengths.max(initial=0))
-    n = np.arange(int(top / 0.9) + 2)
-    common = np.maximum(n - (Q - 1) - Q * (n // 10), 0)
-    return np.array([common[a : int(a / 0.9) + 2].min(initial=n[-1]) for a in range(top + 1)])[lengths]
+def most_edits(n: np.ndarray) -> np.ndarray:
+    """The edits that a near-equal text of n / 0.9 words, the longest there can be, may have."""
+    return (n * 10 // 9) // 10
 
 
-def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, fingerprint) for texts laid end to end; strong marks words that are not everyday ones."""
+def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, fingerprint) for texts laid end to end, and for each text whether it is few; strong marks words that are not everyday ones."""
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    total = len(hashes)
+    total, few = len(hashes), np.ones(len(lengths), bool)
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64), few
     if total < Q:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return nothing
     doc = np.repeat(np.arange(len(lengths)), lengths)
     h = np.zeros(total - Q + 1, np.uint64)
     weak = np.full(total - Q + 1, Q, np.uint64)
@@ -104,27 +103,24 @@ def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) ->
         weak -= strong[i : total - Q + 1 + i].astype(np.uint64)
     h = _mix(h)
     order = (weak << np.uint64(60)) | (h >> np.uint64(4))
-    d, n = doc[: len(h)], lengths[doc[: len(h)]]
-    at = np.arange(len(h))
-    inside = at + Q <= starts[d] + n  # the shingle ends in its own text
-    picked = np.flatnonzero(inside & (n >= 9))
+    d = doc[: len(h)]
+    n = lengths[d]
+    picked = np.flatnonzero((np.arange(len(h)) + Q <= starts[d] + n) & (n >= 9))  # the shingle ends in its own text
     if not len(picked):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return nothing
+    picked = picked[np.lexsort((h[picked], order[picked], d[picked]))]
+    fresh = np.ones(len(picked), bool)
+    fresh[1:] = (d[picked][1:] != d[picked][:-1]) | (h[picked][1:] != h[picked][:-1])
+    picked = picked[fresh]
     owner = d[picked]
-    by = np.lexsort((order[picked], owner))
-    picked, owner = picked[by], owner[by]
     counts = np.bincount(owner, minlength=len(lengths))
     rank = np.arange(len(picked)) - np.concatenate(([0], np.cumsum(counts)[:-1]))[owner]
-    use = rank < counts[owner] - np.maximum(_least_common(lengths)[owner] - 2, 0)
-    docs, fps = owner[use], h[picked[use]]
-    by = np.lexsort((fps, docs))
-    docs, fps = docs[by], fps[by]
-    first = np.ones(len(docs), bool)
-    first[1:] = (docs[1:] != docs[:-1]) | (fps[1:] != fps[:-1])
-    return docs[first], fps[first]
+    most = Q * most_edits(lengths) + 2
+    use = rank < most[owner]
+    return owner[use], h[picked[use]], counts < most
 
 
-SHAPE = "id string, at long, cls binary, n int, words binary, fps array<long>"
+SHAPE = "id string, at long, cls binary, n int, few boolean, words binary, fps array<long>"
 #: Numbers of texts: the batch in the upper bits, Spark's own row number below.
 BATCH_BITS = 50
 
@@ -139,7 +135,7 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pd.util.hash_array(np.array(uniques, object), categorize=False) if len(uniques) else np.zeros(0, np.uint64)
         strong = np.array([len(u) >= 12 or sum(c.isdigit() for c in u) >= 4 for u in uniques], bool)
         hashes = own[codes] if len(codes) else np.zeros(0, np.uint64)
-        docs, fps = fingerprints(lengths, hashes, strong[codes] if len(codes) else np.zeros(0, bool))
+        docs, fps, few = fingerprints(lengths, hashes, strong[codes] if len(codes) else np.zeros(0, bool))
         ends = np.concatenate(([0], np.cumsum(lengths)))
         cuts = np.searchsorted(docs, np.arange(len(texts) + 1)).astype(np.int32)
         raw = hashes.tobytes()
@@ -147,7 +143,7 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = (hashes >> np.uint64(32)).astype(np.uint32)
         words = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(short.tobytes())])
         found = pa.ListArray.from_arrays(pa.array(cuts), pa.array(fps.astype(np.int64)))
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(lengths.astype(np.int32)), words, found], names=["id", "at", "cls", "n", "words", "fps"])
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(lengths.astype(np.int32)), pa.array(few), words, found], names=["id", "at", "cls", "n", "few", "words", "fps"])
         yield out.filter(pa.array(lengths > 0))
 
 
@@ -317,7 +313,7 @@ class History:
         screened_cut = Cut(blobs.repartition("part").mapInArrow(_screen, SCREEN), "screened")
         screened = screened_cut.df
 
-        short = reps.filter("n <= 10").select("k")
+        short = reps.filter("few").select("k")
         big = screened.filter("kind = 'big'").select("fp", "k")
         links, leaders = self._within(screened, big, short, reps)
         against = self._before(screened, short, reps)
@@ -346,7 +342,7 @@ class History:
     def _within(self, screened: DataFrame, big: DataFrame, short: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Near-equal pairs inside the batch, and the memberships (fp, k) of groups too large for pairs.
 
-        Near-equal texts of more than ten words share two fingerprints at least: a pair that met only once, or a text in only one big
+        Near-equal texts share two fingerprints at least, unless both are few: a pair that met only once, or a text in only one big
         group, counts no further unless the other shared one may be hidden in a big group.
         """
         in_big = big.select("k").distinct()
@@ -366,7 +362,7 @@ class History:
 
     def _before(self, screened: DataFrame, short: DataFrame, reps: DataFrame) -> DataFrame:
         """Near-equal pairs of the batch's texts with accepted ones: filter positives looked up in the store, counted, verified."""
-        accepted = self._read("accepted", "id string, at long, n int, words binary, fps array<long>, k long")
+        accepted = self._read("accepted", "id string, at long, n int, few boolean, words binary, fps array<long>, k long")
         if accepted is None:
             return self.spark.createDataFrame([], LINK)
         old = screened.filter("kind = 'old'").select("fp", "k")
@@ -382,7 +378,7 @@ class History:
         met = Cut(met, "met").df
         once = met.filter("c = 1")
         rest = once.join(hot_old.select("k").distinct(), "k", "left_semi").select("k", "k2").union(once.join(short, "k", "left_semi").select("k", "k2"))
-        few = accepted.filter("n <= 10").select(F.col("k").alias("k2"))
+        few = accepted.filter("few").select(F.col("k").alias("k2"))
         rest = rest.union(once.join(few, "k2", "left_semi").select("k", "k2"))
         pairs = met.filter("c > 1").select("k", "k2").union(rest).union(hot_met.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2")).distinct()
         return Cut(_verify(pairs, reps, accepted), "against").df

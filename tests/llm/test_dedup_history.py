@@ -36,12 +36,14 @@ def test_near_equal_texts_share_fingerprints():
     for _ in range(300):
         n = r.randint(10, 150)
         a = [r.choice(vocabulary) for _ in range(n)]
+        if r.random() < 0.4:  # texts that repeat themselves have few distinct shingles
+            a = (a[: r.randint(1, 12)] * n)[:n]
         b = list(a)
         for at in r.sample(range(n), n // 10):
-            b[at] = "changed"
+            b[at] = r.choice(["changed", a[0], f"new{at}"])
         got = next(H._shape(iter([pa.RecordBatch.from_pydict({"id": ["a", "b"], "at": [0, 1], "content": [" ".join(a), " ".join(b)]})]))).to_pandas()
         common = len(set(got["fps"].iloc[0]) & set(got["fps"].iloc[1]))
-        assert common >= 1
+        assert common >= (1 if got["few"].all() else 2)
 
 
 def test_bloom_has_what_was_added():
