@@ -118,7 +118,13 @@ res as (select "type", id, round(0.4 * fts + 0.3 * evidence + 0.2 * temporal + 0
 )
 query("V12_search", 'select * from res order by score desc, "type", id limit 20', _SEARCH)(lambda g: search.search(g, QUERY))
 query("V4_V14_search_all", "select * from res", _SEARCH)(lambda g: search.search(g, QUERY, limit=None))
-query("V11_hybrid_search")(lambda g: search.search(g, QUERY, mode="hybrid", like=g.embeddings.filter("size(vector) = dimensions").agg(F.min("id")).first()[0]))
+_HYBRID = (
+    _SEARCH
+    + f""", q as (select * from emb where id = (select min(id) from emb where len(vector) = dimensions)),
+v100 as (select target_type, target_id, max(score) score from (select a.target_type, a.target_id, round({_COS}, 6) score, row_number() over (partition by a.target_type order by round({_COS}, 6) desc, a.id) r from emb a, q where a.model = q.model and a.id <> q.id) where r <= 100 group by 1, 2),
+hy as (select sc.*, coalesce(case "type" when 'entity' then greatest((select score from v100 where target_type = 'entity' and target_id = sc.id), (select max(score) from ev join v100 on target_type = 'episode' and target_id = ev.episode_id where ev.entity_id = sc.id)) when 'episode' then (select score from v100 where target_type = 'episode' and target_id = sc.id) end, 0.0) vector from sc)"""
+)
+query("V11_hybrid_search", 'select "type", id, round(0.35 * fts + 0.25 * evidence + 0.15 * temporal + 0.1 * graph + 0.15 * vector, 6) as score, round(fts, 6) as fts, round(evidence, 6) as evidence, round(temporal, 6) as temporal, round(graph, 6) as graph, vector, "content" from hy order by score desc, "type", id limit 20', _HYBRID)(lambda g: search.search(g, QUERY, mode="hybrid", like=g.embeddings.filter("size(vector) = dimensions").agg(F.min("id")).first()[0]))
 query(
     "V13_W7_anchored",
     "select id, 0 as tier, 1.0::double as score from seeds union all select id, least(hops, 2), round(case when hops = 1 then 0.5 + 0.5 * confidence / max(confidence) over (partition by least(hops, 2)) else 0.5 * confidence / max(confidence) over (partition by least(hops, 2)) end, 6) from walked",
