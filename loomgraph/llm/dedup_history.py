@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -147,22 +147,26 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(lengths > 0))
 
 
-def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parted(partitions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(k, fps) -> one row for each partition of fingerprints and batch, its numbers side by side in two blobs: a shuffle of few, long rows."""
-    for batch in batches:
-        lists = batch.column(1)
-        counts = np.diff(lists.offsets.to_numpy())
-        fp = lists.flatten().to_numpy(zero_copy_only=False)
-        k = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-        part = fp.view(np.uint64) % np.uint64(PARTITIONS)
-        by = np.argsort(part, kind="stable")
-        part, fp, k = part[by], fp[by], k[by]
-        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
-        spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(part[x]) for x, _ in spans], pa.int32()), pa.array([fp[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([k[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([None] * len(spans), pa.binary())],
-            names=["part", "fps", "ks", "bits"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            counts = np.diff(lists.offsets.to_numpy())
+            fp = lists.flatten().to_numpy(zero_copy_only=False)
+            k = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
+            part = fp.view(np.uint64) % np.uint64(partitions)
+            by = np.argsort(part, kind="stable")
+            part, fp, k = part[by], fp[by], k[by]
+            edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+            spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[x]) for x, _ in spans], pa.int32()), pa.array([fp[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([k[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([None] * len(spans), pa.binary())],
+                names=["part", "fps", "ks", "bits"],
+            )
+
+    return run
 
 
 class Bloom:
@@ -280,8 +284,10 @@ class History:
     """The persistent state: classes (cls -> accepted id), accepted texts with their words and fingerprints, Bloom filters, and the
     fingerprints that were big; one sub-folder for each batch, so a batch that dies leaves nothing half-written that later ones read."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.batches = spark, path, 0
+    def __init__(self, spark: SparkSession, path: str, partitions: int = PARTITIONS):
+        """partitions: fixed for a history. A task holds at least one, 16 bytes for each fingerprint of a batch in it and 12 bits for each
+        of history; 64 serve batches of some hundred million fingerprints, larger ones take more."""
+        self.spark, self.path, self.partitions, self.batches = spark, path, partitions, 0
 
     def _read(self, name: str, schema: str) -> DataFrame | None:
         if not self.batches:
@@ -305,7 +311,7 @@ class History:
         members = Cut(shaped.select("id", "cls"), "members").df
         shaped_cut.drop()
 
-        blobs = reps.select("k", "fps").mapInArrow(_parted, "part int, fps binary, ks binary, bits binary")
+        blobs = reps.select("k", "fps").mapInArrow(_parted(self.partitions), "part int, fps binary, ks binary, bits binary")
         bloom = self._read("bloom", "part int, bits binary")
         if bloom is not None:
             none = F.lit(None).cast("binary")
@@ -417,7 +423,7 @@ class History:
         return parts
 
 
-def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 2) -> DataFrame:
+def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 2, partitions: int = PARTITIONS) -> DataFrame:
     """(id, accepted_id, edits) of all duplicates, feeding the rows to a fresh history in consecutive batches of the order column.
 
     The outcome does not depend on how many batches there are: texts are settled strictly in order.
@@ -427,7 +433,7 @@ def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches:
     rows = episodes.filter(F.col(id).isNotNull() & F.col(content).isNotNull())
     bounds = rows.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     bounds = sorted(set(bounds))
-    history = History(spark, new_path(spark, "history"))
+    history = History(spark, new_path(spark, "history"), partitions)
     out = None
     kind = dict(episodes.dtypes)[order]
     for lo, hi in zip([None, *bounds], [*bounds, None]):
