@@ -375,7 +375,7 @@ class History:
         store = accepted.select(F.explode("fps").alias("fp"), F.col("k").alias("k2"))
         hot = self._read("big", "fp long").distinct().withColumn("hot", F.lit(True))
         old = Cut(old.join(hot, "fp", "left"), "old").df
-        # big fingerprints link only texts that have two of them, on both sides
+        # big fingerprints link only texts that have two of them, on both sides, or are few
         hot_old = old.filter("hot")
         two = lambda df, k: df.groupBy(k).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(k)
         hot_store = store.join(hot.select("fp"), "fp", "left_semi")
@@ -386,6 +386,9 @@ class History:
         rest = once.join(hot_old.select("k").distinct(), "k", "left_semi").select("k", "k2").union(once.join(short, "k", "left_semi").select("k", "k2"))
         few = accepted.filter("few").select(F.col("k").alias("k2"))
         rest = rest.union(once.join(few, "k2", "left_semi").select("k", "k2"))
+        # one shared fingerprint is all that two few texts may have, be it a big one
+        brief = hot_old.join(short, "k", "left_semi").select("fp", "k").join(hot_store.join(few, "k2", "left_semi"), "fp").select("k", "k2")
+        rest = rest.union(brief)
         pairs = met.filter("c > 1").select("k", "k2").union(rest).union(hot_met.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2")).distinct()
         return Cut(_verify(pairs, reps, accepted), "against").df
 

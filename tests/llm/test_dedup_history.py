@@ -92,3 +92,13 @@ def test_long_and_missing(spark):
     df = spark.createDataFrame([("a", 1, long), ("b", 2, long.replace("token77 ", "")), ("c", None, "x y z")], "id string, t int, content string").withColumn("t", F.timestamp_seconds("t").cast("timestamp_ntz"))
     assert [(x["id"], x["accepted_id"]) for x in H.deduplicate(df, "id", "content", "t").collect()] == [("b", "a")]
     assert H.deduplicate(df.limit(0), "id", "content", "t").count() == 0
+
+
+def test_few_texts_meet_by_one_big_fingerprint_of_an_earlier_batch(spark):
+    # 40 texts of ten words with one ending; later copies with the fifth word changed share no other shingle
+    ending = "closes the ticket as agreed"
+    rows = [(f"a{i:02d}", i, " ".join(f"w{i}x{j}" for j in range(5)) + " " + ending) for i in range(40)]
+    rows += [(f"b{i:02d}", 100 + i, rows[i][2].replace(f"w{i}x4", f"changed{i}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, at_s int, content string").withColumn("t", F.timestamp_seconds("at_s").cast("timestamp_ntz"))
+    got = {x["id"]: x["accepted_id"] for x in H.deduplicate(df, "id", "content", "t", 2).collect()}
+    assert got == {f"b{i:02d}": f"a{i:02d}" for i in range(40)} == brute(rows)
