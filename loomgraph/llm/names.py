@@ -197,10 +197,12 @@ def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held.sort(key=lambda x: (-x[1], x[0]))
         rows = []
         for i, (t, n) in enumerate(held):
-            if n > 4 or t in SHORT_FORMS:
+            if t in SHORT_FORMS:
                 continue
+            # a name of a few spellings is one slip more easily than one of many, which only a far more frequent one may take over
+            least = 2 * n if n <= 4 else 5 * n
             for u, m in held:
-                if m < 2 * n:
+                if m < least:
                     break
                 if u != t and slip(t, u):
                     rows.append((t, n, u, m))

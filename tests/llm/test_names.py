@@ -38,3 +38,9 @@ def test_links(spark):
 
 def test_empty(spark):
     assert names.link_people(spark.createDataFrame([], "id string, name string"), spark.createDataFrame([], "entity_id string, alias string"), spark.createDataFrame([], "actor string")).count() == 0
+
+
+def test_a_slip_of_many_spellings_is_still_a_slip(spark):
+    tokens = [("alexxander", 6), ("alexander", 90), ("torroeski", 9), ("torropski", 30), ("lundgren", 40), ("lindgren", 50)]
+    got = {r["token"]: r["star"] for r in names.stars(spark.createDataFrame(tokens, "token string, n long")).collect()}
+    assert got == {"alexxander": "alexander", "alexander": "alexander", "torroeski": "torroeski", "torropski": "torropski", "lundgren": "lundgren", "lindgren": "lindgren"}
