@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.asof import as_known
-from ..operators.hierarchy import hierarchy, paths
+from ..operators.hierarchy import hierarchy, links_of, paths, walk_down
 from ..operators.intervals import coverage, micros
 from ..operators.orphans import ForeignKey, Table, cleaned, orphans
-from ..session import load
+from ..session import Cut, load
 
 KEYS = ["ref_table", "subject_id", "object_key", "relation_type"]
 
@@ -118,6 +118,20 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
     return both.unionByName(single.select("edge_id", F.col("edge_id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("n_descendants"), F.col("edge_id").alias("path")))
 
 
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every edge with each edge it ends up replacing; in and below loops too, where an edge is not said to replace itself."""
+    edges = load(spark, d, "edges").select("id", "superseded_by")
+    tree = hierarchy(edges, "id", "superseded_by")
+    below = walk_down(tree, tree.nodes.select("id")).select(F.col("ancestor").alias("edge_id"), F.col("descendant").alias("replaced_id"))
+    # the closure of what leads into loops, by doubling
+    near = Cut(links_of(edges, "id", "superseded_by")[0].join(tree.loops.select("id"), "id").select(F.col("parent").alias("edge_id"), F.col("id").alias("replaced_id")), "closure").df
+    n, before = near.count(), 0
+    while n > before:
+        near = Cut(near.union(near.join(near.select(F.col("replaced_id").alias("edge_id"), F.col("edge_id").alias("above")), "edge_id").select(F.col("above").alias("edge_id"), "replaced_id")).distinct(), "closure").df
+        n, before = near.count(), n
+    return below.unionByName(near.filter("edge_id <> replaced_id"))
+
+
 _LINKS = """
 with recursive given as (select upper(trim(id)) id, max(upper(trim(superseded_by))) p from edges where trim(superseded_by) <> '' group by 1),
 ids as (select distinct upper(trim(id)) id from edges),
@@ -140,6 +154,12 @@ select e.id as edge_id, case when e.d >= 300 then (select min(w.cur) from walk w
 from ends e left join below b on b.id = e.id"""
 )
 
+P6_DESCENDANTS = """
+with recursive given as (select upper(trim(id)) id, max(upper(trim(superseded_by))) p from edges where trim(superseded_by) <> '' group by 1),
+links as (select id, p from given where p in (select upper(trim(id)) from edges)),
+walk as (select id, p cur from links union select walk.id, links.p from walk join links on links.id = walk.cur)
+select cur as edge_id, id as replaced_id from walk where id <> cur"""
+
 
 def _owners(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     episodes = load(spark, d, "episodes").select(F.col("id").alias("episode_id"), "timestamp").distinct()
@@ -170,5 +190,5 @@ best as (select p.episode_id, p.entity_id, o.id edge_id, o.source_id owner, o.co
 P7_FOUND = _KNOWN + "select episode_id, entity_id, edge_id from best where n = 1"
 P7_OWNERS = _KNOWN + "select episode_id, entity_id, edge_id, owner, confidence from best where n = 1"
 
-QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_paths": p6_paths, "p7_found": p7_found, "p7_owners": p7_owners}
-SQL = {"p1_found": P1_FOUND, "p1_periods": P1_PERIODS, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p6_paths": P6_PATHS, "p7_found": P7_FOUND, "p7_owners": P7_OWNERS}
+QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p7_found": p7_found, "p7_owners": p7_owners}
+SQL = {"p1_found": P1_FOUND, "p1_periods": P1_PERIODS, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p6_paths": P6_PATHS, "p6_descendants": P6_DESCENDANTS, "p7_found": P7_FOUND, "p7_owners": P7_OWNERS}

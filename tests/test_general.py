@@ -156,3 +156,12 @@ def test_running_count_of_a_hot_key(spark):
         got = {x["t"]: x["n"] for x in running_count(df, "k", "o", "t", "one", "n", hot, 5).collect()}
         for k in "hx":
             assert [got[t] for _, o, t, _ in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))] == list(range(1, 1 + sum(x[0] == k for x in rows)))
+
+
+def test_replaced_edges_come_out_in_and_below_loops(spark, tmp_path):
+    from loomgraph.plans import general
+
+    rows = [("a", "B "), ("b", "c"), ("c", None), ("d", "c"), ("x", "y"), ("y", "x"), ("t", "x"), ("u", "t"), ("s", "s"), ("e", "gone"), ("a", "B ")]
+    spark.createDataFrame(rows, "id string, superseded_by string").write.parquet(f"{tmp_path}/edges.parquet")
+    got = sorted((r["edge_id"], r["replaced_id"]) for r in general.p6_descendants(spark, str(tmp_path)).collect())
+    assert got == sorted(tuple(x) for x in "BA CA CB CD XY YX XT YT XU YU TU".split())
