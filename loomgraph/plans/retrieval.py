@@ -91,7 +91,7 @@ query(
     "G3_shortest_path",
     f"select start, id as goal, length from (select start, id, min(depth) as length from near where id = {_GOAL} group by 1, 2)",
     _NEAR.replace("n.depth < 2", "n.depth < 5"),
-)(lambda g: traverse.shortest_paths(g, g.entities.filter("entity_type = 'service'").select("id"), g.entities.filter("entity_type = 'k8s_resource_kind'").agg(F.min("id").alias("id")), most=5).select("start", "goal", "length"))
+)(lambda g: traverse.shortest_paths(g, g.entities.filter("entity_type = 'service'").select("id"), g.entities.filter("entity_type = 'k8s_resource_kind'").agg(F.min("id").alias("id"))).select("start", "goal", "length"))
 query(
     "G6_G7_cycles",
     "select distinct array_to_string(list_sort(path), '>') as cycle from w where nxt = start",

@@ -1,5 +1,6 @@
 """The general operators against brute force, with hot keys, nulls, ties, repeats, empty tables and clashing column names."""
 
+import os
 import random
 
 import pytest
@@ -165,3 +166,24 @@ def test_replaced_edges_come_out_in_and_below_loops(spark, tmp_path):
     spark.createDataFrame(rows, "id string, superseded_by string").write.parquet(f"{tmp_path}/edges.parquet")
     got = sorted((r["edge_id"], r["replaced_id"]) for r in general.p6_descendants(spark, str(tmp_path)).collect())
     assert got == sorted(tuple(x) for x in "BA CA CB CD XY YX XT YT XU YU TU".split())
+
+
+def test_shortest_paths_of_eight_steps_are_registered(spark, data, tmp_path):
+    import duckdb
+
+    from loomgraph.plans import retrieval
+
+    for f in os.listdir(data):
+        if f.split(".")[0] not in ("entities", "edges"):
+            os.symlink(f"{data}/{f}", f"{tmp_path}/{f}")
+    c = duckdb.connect()
+    c.execute(f"create table n as select * from '{data}/entities.parquet'; create table e as select * from '{data}/edges.parquet'")
+    goal = "00GOAL"
+    c.execute("insert into n select * replace ('ZCHAIN0' as id) from n where entity_type = 'service' limit 1")
+    c.execute(f"insert into n select * replace ('{goal}' as id, 'k8s_resource_kind' as entity_type) from n limit 1")
+    ends = [f"ZCHAIN{i}" for i in range(8)] + [goal]
+    for i in range(8):
+        c.execute(f"insert into e select * replace ('ZEDGE{i}' as id, '{ends[i]}' as source_id, '{ends[i + 1]}' as target_id, null as invalidated_at) from e limit 1")
+    c.execute(f"copy n to '{tmp_path}/entities.parquet'; copy e to '{tmp_path}/edges.parquet'")
+    got = retrieval.QUERIES["G3_shortest_path"](spark, str(tmp_path)).filter("start = 'ZCHAIN0'").collect()
+    assert [(r["goal"], r["length"]) for r in got] == [(goal, 8)]
