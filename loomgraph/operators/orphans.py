@@ -1,7 +1,8 @@
 """References to records that are absent, or that came later, and what hangs below them.
 
-Direct orphans are found by anti-joins from cleaned ids. The cascade then walks down the foreign-key graph: a record that
-refers to an orphaned record is an inherited orphan one level deeper, found by semi-joins until a round adds nothing.
+Direct orphans are found by anti-joins from cleaned ids. The cascade then follows the foreign-key graph: a record that
+refers to an orphaned record is an inherited orphan one level deeper. Where each record refers to one record at most, the fixpoint is
+reached by doubling the references, in rounds that grow with the logarithm of the depth; else by semi-joins, a level a round.
 
 Cleaned id: trimmed of spaces and upper-cased; null and empty are no reference. Repeated rows are one record. Rows without an
 own id are no records and cannot be reported. A loop of references ends the cascade, as each record enters it once.
@@ -78,40 +79,78 @@ def orphans(tables: dict[str, Table], keys: list[ForeignKey], cascade: bool = Tr
     direct = joined.withColumn("ref_state", state).filter("ref_state is not null").select("fk", "row_id", "born", "ref_state", F.lit(0).alias("level")).distinct()
     if not cascade:
         return _named(direct, keys)
-    found = Cut(direct, "orphans")
+    found = Cut(direct, "orphans").df
     # only a table that is referred to can pass its orphans on
     inner = sorted({k.table for k in keys} & set(parents))
     own = [i for i, k in enumerate(keys) if k.parent in inner]
     if not own:
-        return _named(found.df, keys)
+        return _named(found, keys)
     place = F.create_map(*[x for i, k in enumerate(keys) if k.table in inner for x in (F.lit(i), F.lit(f"{parents.index(k.table)}|"))])
-    key_of = F.concat(place[F.col("fk")], cleaned("row_id"))
-    links = Cut(refs.filter(F.col("fk").isin(own)).distinct(), "links")
-    gone = lambda df: df.select(key_of.alias("gone")).filter("gone is not null").distinct()
+    links = refs.filter(F.col("fk").isin(own)).distinct().withColumn("child", F.concat(place[F.col("fk")], cleaned("row_id")))
+    links = Cut(links, "links").df
+    seeds = Cut(found.filter("ref_state = 'missing'").select(F.concat(place[F.col("fk")], cleaned("row_id")).alias("gone")).filter("gone is not null").distinct(), "seeds").df
+    one_each = links.filter("child is not null").groupBy("child").agg(F.countDistinct("ref_key").alias("n")).filter("n > 1").isEmpty()
+    levels = (_doubled if one_each else _round_by_round)(links, seeds, hot_rows)
+    if max_levels is not None:
+        levels = levels.filter(F.col("level") <= max_levels)
+    parts = found.unionByName(levels.select("fk", "row_id", "born", F.lit("inherited").alias("ref_state"), "level"))
+    # a reference found missing or late stays what it is
+    first = parts.groupBy("fk", "row_id", "born").agg(F.min(F.struct("level", "ref_state")).alias("s"))
+    return _named(first.select("fk", "row_id", "born", "s.ref_state", "s.level"), keys)
+
+
+def _doubled(links: DataFrame, seeds: DataFrame, hot_rows: int) -> DataFrame:
+    """(fk, row_id, born, level) where each record refers to one record at most: pointer doubling, so rounds grow with the
+    logarithm of the depth.
+
+    (child, up, steps, level): up is `steps` references above; level is the number of steps to the first orphan, once one is known. A
+    record is settled with it, or when its up refers to nothing. As a chain longer than 2**k steps has records of every smaller distance, a round
+    that settles none leaves only loops, which hold no orphan.
+    """
+    marked = seeds.withColumn("hit", F.lit(1))
+    walk = salted_join(links.filter("child is not null").select("child", F.col("ref_key").alias("up")).distinct(), marked, "up", "gone", "left", hot_rows=hot_rows)
+    walk = Cut(walk.select("child", "up", F.lit(1).cast("int").alias("steps"), F.col("hit").alias("level"), F.col("hit").isNotNull().alias("done")), "walk")
+    left = walk.df.filter("not done").count()
+    while left:
+        above = walk.df.select(F.col("child").alias("c2"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("level").alias("level2"), F.col("done").alias("done2"))
+        step = salted_join(walk.df.filter("not done"), above, "up", "c2", "left", hot_rows=hot_rows)
+        level = F.when(F.col("level2").isNotNull(), F.col("steps") + F.col("level2"))
+        ended = F.coalesce(F.col("done2"), F.lit(True))
+        step = step.select("child", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), level.alias("level"), ended.alias("done"))
+        grown = Cut(walk.df.filter("done").unionByName(step), "walk")
+        walk.drop()
+        walk, before = grown, left
+        left = walk.df.filter("not done").count()
+        if left == before:
+            break
+    hit = walk.df.filter("level is not null").select(F.col("child").alias("c"), "level")
+    inner = links.filter("child is not null").join(hit, F.col("child") == F.col("c")).select("fk", "row_id", "born", "level")
+    # a record that nothing can refer to only takes over from its parent
+    known = seeds.select(F.col("gone").alias("c"), F.lit(0).alias("d")).unionByName(hit.select("c", F.col("level").alias("d"))).groupBy("c").agg(F.min("d").alias("d"))
+    outer = salted_join(links.filter("child is null"), known, "ref_key", "c", "inner", hot_rows=hot_rows)
+    return inner.unionByName(outer.select("fk", "row_id", "born", (F.col("d") + 1).alias("level")))
+
+
+def _round_by_round(links: DataFrame, seeds: DataFrame, hot_rows: int) -> DataFrame:
+    """The same where records refer to several: one round of semi-joins for each level, until one adds nothing."""
     # all levels lie in one folder, so that however deep the cascade runs, each round's plan reads two tables
-    spark = found.df.sparkSession
-    path, shape = new_path(spark, "levels"), "fk int, row_id string, born timestamp_ntz, ref_state string"
-    shape = shape.replace("timestamp_ntz", dict(direct.dtypes)["born"])
-    hot = hot_keys(links.df, "ref_key", hot_rows)
-    gone(found.df.filter("ref_state = 'missing'")).write.parquet(f"{path}-gone/level=0")
+    spark = links.sparkSession
+    path, shape = new_path(spark, "levels"), "fk int, row_id string, born timestamp_ntz"
+    shape = shape.replace("timestamp_ntz", dict(links.dtypes)["born"])
+    hot = hot_keys(links, "ref_key", hot_rows)
+    seeds.write.parquet(f"{path}-gone/level=0")
     level = 0
-    while max_levels is None or level < max_levels:
+    while True:
         level += 1
         fresh = spark.read.schema("gone string").parquet(f"{path}-gone/level={level - 1}")
-        hit = salted_join(links.df, fresh, "ref_key", "gone", "left_semi", hot=hot).select("fk", "row_id", "born", F.lit("inherited").alias("ref_state"))
+        hit = salted_join(links, fresh, "ref_key", "gone", "left_semi", hot=hot)
         if level > 1:  # in a loop of references each one is met once
             hit = hit.join(spark.read.schema(f"{shape}, level int").parquet(path).select("fk", "row_id"), ["fk", "row_id"], "left_anti")
-        hit.write.parquet(f"{path}/level={level}")
-        now = spark.read.schema(shape).parquet(f"{path}/level={level}")
-        if now.isEmpty():
-            break
-        gone(now).write.parquet(f"{path}-gone/level={level}")
-    parts = found.df
-    if level:
-        parts = parts.unionByName(spark.read.schema(f"{shape}, level int").parquet(path))
-    # a reference found missing or late stays what it is
-    first = parts.groupBy("fk", "row_id", "born").agg(F.min(F.struct("level", "ref_state")).alias("s"))
-    return _named(first.select("fk", "row_id", "born", "s.ref_state", "s.level"), keys)
+        hit = Cut(hit, "hit").df
+        hit.select("fk", "row_id", "born").write.parquet(f"{path}/level={level}")
+        if hit.isEmpty():
+            return spark.read.schema(f"{shape}, level int").parquet(path)
+        hit.select(F.col("child").alias("gone")).filter("gone is not null").distinct().write.parquet(f"{path}-gone/level={level}")
 
 
 def _named(found: DataFrame, keys: list[ForeignKey]) -> DataFrame:

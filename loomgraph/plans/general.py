@@ -53,18 +53,19 @@ FOREIGN_KEYS = [
 ]
 
 
-def reference_orphans(spark: SparkSession, d: str) -> DataFrame:
+def reference_orphans(spark: SparkSession, d: str, cascade: bool = True) -> DataFrame:
     tables = {
         "edges": Table(load(spark, d, "edges")),
         "entities": Table(load(spark, d, "entities")),
         "entity_aliases": Table(load(spark, d, "entity_aliases")),
         "episodes": Table(load(spark, d, "episodes"), born="ingested_at"),
     }
-    return orphans(tables, FOREIGN_KEYS)
+    return orphans(tables, FOREIGN_KEYS, cascade)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return reference_orphans(spark, d).filter("level = 0").select("ref_table", "ref_column", "row_id", "ref_state")
+    """Direct orphans only; p5_report has the inherited ones too."""
+    return reference_orphans(spark, d, cascade=False).select("ref_table", "ref_column", "row_id", "ref_state")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:

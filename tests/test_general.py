@@ -75,6 +75,23 @@ def test_orphans_direct_and_inherited(spark):
     assert orphans({"edges": Table(edges.limit(0)), "nodes": Table(nodes.limit(0))}, keys).count() == 0
 
 
+def test_cascade_by_doubling_and_by_rounds(spark):
+    """A chain of seventy below an orphan, loops with and without one, and a table whose rows refer to two others."""
+    made = "cast('2024-01-01 00:00:00' as timestamp_ntz)"
+    rows = [("C0", "NONE")] + [(f"C{i}", f"C{i - 1}") for i in range(1, 71)] + [("L1", "L2"), ("L2", "L3"), ("L3", "L1"), ("B1", "L1"), ("R1", None), ("R2", "R1")]
+    nodes = spark.createDataFrame(rows, "id string, up string").withColumn("created_at", F.expr(made))
+    leaves = spark.createDataFrame([("X", "C70"), ("Y", "R2"), ("Z", "C0")], "id string, node string").withColumn("created_at", F.expr(made))
+    keys = [ForeignKey("nodes", "up", "nodes", late=False), ForeignKey("leaves", "node", "nodes", late=False)]
+    tables = {"nodes": Table(nodes), "leaves": Table(leaves)}
+    got = {(r["row_id"], r["level"]) for r in orphans(tables, keys).collect()}
+    assert got == {("C0", 0)} | {(f"C{i}", i) for i in range(1, 71)} | {("X", 71), ("Z", 1)}
+    # two references a row: level by level
+    double = nodes.withColumn("second", F.when(F.col("id") == "C5", F.lit("R1")))
+    twice = [*keys, ForeignKey("nodes", "second", "nodes", late=False)]
+    assert {(r["row_id"], r["level"]) for r in orphans({"nodes": Table(double.filter("id not like 'C__'")), "leaves": Table(leaves)}, twice).collect()} >= {("C0", 0), ("C9", 9), ("X", 0), ("Z", 1)}
+    assert max(r["level"] for r in orphans(tables, keys, max_levels=3).collect()) == 3
+
+
 def brute_walk(parent, node):
     seen, path = set(), [node]
     while parent.get(path[-1]) in parent or parent.get(path[-1]) in set(parent) | {p for p in parent.values()}:
