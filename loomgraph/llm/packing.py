@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Documents one task packs; what a shard wastes is at most one container that stays part empty.
 SHARD_DOCS = 4_000
+#: Tasks the shards are spread over at most; beyond it a task packs several, one after the other.
+MAX_TASKS = 20_000
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
@@ -159,4 +161,5 @@ def pack_documents(documents: DataFrame, budgets: list[tuple[str, int]], doc_id:
     shards = max(1, -(-documents.select(doc_id).count() // shard_docs))
     counted = token_counts(documents, doc_id, text, path or tokenizer_path()).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
     sharded = counted.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n_tokens")
-    return sharded.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInPandas(_pack_shards(budgets), PACKED)
+    # few rows, much work: a number of its own, which adaptive execution leaves alone
+    return sharded.repartition(min(4 * shards, MAX_TASKS), "shard").sortWithinPartitions("shard", "doc_id").mapInPandas(_pack_shards(budgets), PACKED)
