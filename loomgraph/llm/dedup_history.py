@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Cut, bounded, delete, new_path, release
+from ..session import Cut, bounded, delete, new_path
 
 Q = 5
 PARTITIONS = 64
 BITS, HASHES = 12, 4
+#: Fingerprints the first Bloom filter of a partition is made for; each further one takes four times as many.
+FIRST = 1 << 12
 #: Groups of more texts than this that share a fingerprint are big: their texts meet only if they share a second fingerprint.
 SMALL_GROUP = 32
 #: What is left of a big group meets in pairs up to this size, and leader by leader beyond it.
@@ -148,23 +150,22 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parted(partitions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(k, fps) -> one row for each partition of fingerprints and batch, its numbers side by side in two blobs: a shuffle of few, long rows."""
+    """(k, few, fps) -> one row for each partition of fingerprints and batch, its numbers side by side in blobs: a shuffle of few, long rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             counts = np.diff(lists.offsets.to_numpy())
             fp = lists.flatten().to_numpy(zero_copy_only=False)
             k = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
+            few = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)
             part = fp.view(np.uint64) % np.uint64(partitions)
-            by = np.argsort(part, kind="stable")
-            part, fp, k = part[by], fp[by], k[by]
+            by = np.lexsort((fp, part))
+            part, fp, k, few = part[by], fp[by], k[by], few[by]
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
             spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part[x]) for x, _ in spans], pa.int32()), pa.array([fp[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([k[x:y].tobytes() for x, y in spans], pa.binary()), pa.array([None] * len(spans), pa.binary())],
-                names=["part", "fps", "ks", "bits"],
-            )
+            blobs = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (fp, k, few)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), *blobs], names=["part", "fps", "ks", "fews"])
 
     return run
 
@@ -195,59 +196,137 @@ class Bloom:
         return out
 
 
+BLOBS = "part int, fps binary, ks binary, fews binary"
 SCREEN = "kind string, part int, fp long, k long, k2 long, bits binary"
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs of fingerprints and filters (those with bits), partition by partition: 'old' rows may be in history, 'pair' and 'big' rows
-    share a fingerprint within the batch, the 'bits' row is the batch's own filter."""
+    """Rows (part, fps, ks, bits, level, n), blobs of fingerprints or a filter, partition by partition: 'pair' and 'big' rows share a
+    fingerprint within the batch, the 'old' row holds what may be in history (fps, then ks, in one blob), the 'bits' rows the filters with the batch added.
 
-    def flush(part: int, filters: list, fps: list, ks: list) -> pa.RecordBatch:
+    A partition's filters have capacities that grow fourfold; only the last takes more, so there are few however long the history.
+    """
+
+    def flush(part: int, filters: dict[int, tuple[int, bytes]], fps: list, ks: list) -> pa.RecordBatch:
         fp, k = np.concatenate(fps), np.concatenate(ks)
         u = fp.view(np.uint64)
         hit = np.zeros(len(u), bool)
-        for f in filters:
-            hit |= f.has(u)
-        own = Bloom.sized(len(u))
+        for _, bits in filters.values():
+            hit |= Bloom(np.frombuffer(bits, np.uint8)).has(u)
+        level = max(filters, default=-1)
+        n, own = filters[level][0] if filters else 0, None
+        if not filters or n + len(u) > FIRST << 2 * level:
+            level, n = next(x for x in range(level + 1, 99) if len(u) <= FIRST << 2 * x), 0
+            own = Bloom.sized(FIRST << 2 * level)
+        else:
+            own = Bloom(np.frombuffer(filters[level][1], np.uint8).copy())
         own.add(u)
+        filters = {**filters, level: (n + len(u), own.bits.tobytes())}
         by = np.lexsort((k, fp))
         fp, k, hit = fp[by], k[by], hit[by]
         edge = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1], [True])))
         size = np.diff(edge)
         lower, upper, big = [], [], []
-        for a, n in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
-            if n <= SMALL_GROUP:
-                i, j = np.triu_indices(n, 1)
+        for a, m in zip(edge[:-1][size > 1].tolist(), size[size > 1].tolist()):
+            if m <= SMALL_GROUP:
+                i, j = np.triu_indices(m, 1)
                 lower.append(a + i)
                 upper.append(a + j)
             else:
-                big.append(np.arange(a, a + n))
+                big.append(np.arange(a, a + m))
         none = np.zeros(0, np.int64)
-        old, lower, upper, big = np.flatnonzero(hit), *(np.concatenate(x) if x else none for x in (lower, upper, big))
-        kinds = np.repeat(["old", "pair", "big"], [len(old), len(lower), len(big)]).tolist() + ["bits"]
-        n = len(kinds)
-        one = np.concatenate((old, lower, big))
-        second = pa.array(np.concatenate((k[np.concatenate((old, upper, big)).astype(np.int64)], [0])), mask=np.array([x != "pair" for x in kinds]))
-        tail = np.arange(n) == n - 1
+        lower, upper, big = (np.concatenate(x) if x else none for x in (lower, upper, big))
+        one, tail = np.concatenate((lower, big)), len(filters) + 1
+        gap = [None] * len(one)
         return pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.array(np.full(n, part, np.int32)), pa.array(np.concatenate((fp[one], [0])), mask=tail), pa.array(np.concatenate((k[one], [0])), mask=tail), second, pa.array([None] * (n - 1) + [own.bits.tobytes()], pa.binary())],
+            [
+                pa.array(["pair"] * len(lower) + ["big"] * len(big) + ["old"] + ["bits"] * len(filters)),
+                pa.array(np.full(len(one) + tail, part, np.int32)),
+                pa.array([*fp[one].tolist(), int(hit.sum()), *filters], pa.int64()),
+                pa.array([*k[one].tolist(), 0, *(m for m, _ in filters.values())], pa.int64()),
+                pa.array([*k[upper].tolist(), *[None] * (len(big) + tail)], pa.int64()),
+                pa.array([*gap, fp[hit].tobytes() + k[hit].tobytes(), *(x for _, x in filters.values())], pa.binary()),
+            ],
             names=[c.split()[0] for c in SCREEN.split(", ")],
         )
 
     # a task holds its partitions whole, 16 bytes a fingerprint
-    held: dict[int, tuple[list, list, list]] = {}
+    held: dict[int, tuple[dict, list, list]] = {}
     for batch in batches:
-        for part, fps, ks, bits in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            own = held.setdefault(part, ([], [], []))
+        for part, fps, ks, bits, level, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            own = held.setdefault(part, ({}, [], []))
             if bits is not None:
-                own[2].append(Bloom(np.frombuffer(bits, np.uint8)))
+                own[0][level] = (n, bits)
             else:
-                own[0].append(np.frombuffer(fps, np.int64))
-                own[1].append(np.frombuffer(ks, np.int64))
+                own[1].append(np.frombuffer(fps, np.int64))
+                own[2].append(np.frombuffer(ks, np.int64))
     for part in list(held):
-        fps, ks, filters = held.pop(part)
+        filters, fps, ks = held.pop(part)
         if fps:
             yield flush(part, filters, fps, ks)
+        else:  # a partition the batch has nothing for keeps its filters
+            n = len(filters)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["bits"] * n), pa.array(np.full(n, part, np.int32)), pa.array(list(filters), pa.int64()), pa.array([m for m, _ in filters.values()], pa.int64()), pa.array([None] * n, pa.int64()), pa.array([x for _, x in filters.values()], pa.binary())],
+                names=[c.split()[0] for c in SCREEN.split(", ")],
+            )
+
+
+FOUND = "kind string, fp long, k long, k2 long, few2 boolean"
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, asked, fps, ks, fews): what a batch asks for and what the store holds, partition by partition -> 'met' pairs (k, k2) of
+    fingerprints that few stored texts have; of others, which are hot, the memberships of both sides ('new' with k, 'old' with k2)."""
+
+    def flush(asked: list[bytes], stored: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        halves = [np.frombuffer(x, np.int64) for x in asked]
+        fp, k = (np.concatenate([x[: len(x) // 2] for x in halves]), np.concatenate([x[len(x) // 2 :] for x in halves]))
+        by = np.argsort(fp, kind="stable")
+        fp, k = fp[by], k[by]
+        wanted = np.unique(fp)
+        f2, k2, few2 = [], [], []
+        for fps, ks, fews in stored:
+            x = np.frombuffer(fps, np.int64)
+            at = np.searchsorted(wanted, x)
+            ok = wanted[np.minimum(at, len(wanted) - 1)] == x
+            f2.append(x[ok])
+            k2.append(np.frombuffer(ks, np.int64)[ok])
+            few2.append(np.frombuffer(fews, bool)[ok])
+        f2, k2, few2 = (np.concatenate(x) for x in (f2, k2, few2))
+        by = np.argsort(f2, kind="stable")
+        f2, k2, few2 = f2[by], k2[by], few2[by]
+        n = np.searchsorted(f2, fp, "right") - np.searchsorted(f2, fp)
+        some = (n > 0) & (n <= SMALL_GROUP)
+        lo = np.searchsorted(f2, fp[some])
+        j = np.repeat(lo - np.concatenate(([0], np.cumsum(n[some])[:-1])), n[some]) + np.arange(n[some].sum())
+        hot = n > SMALL_GROUP
+        own = np.isin(f2, fp[hot])
+        a, b, c = len(j), int(hot.sum()), int(own.sum())
+        zero = lambda m: np.zeros(m, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(["met"] * a + ["new"] * b + ["old"] * c, pa.string()),
+                pa.array(np.concatenate((f2[j], fp[hot], f2[own]))),
+                pa.array(np.concatenate((np.repeat(k[some], n[some]), k[hot], zero(c)))),
+                pa.array(np.concatenate((k2[j], zero(b), k2[own]))),
+                pa.array(np.concatenate((few2[j], np.zeros(b, bool), few2[own]))),
+            ],
+            names=[c.split()[0] for c in FOUND.split(", ")],
+        )
+
+    held: dict[int, tuple[list, list]] = {}
+    for batch in batches:
+        for part, asked, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            own = held.setdefault(part, ([], []))
+            if asked is not None:
+                own[0].append(asked)
+            else:
+                own[1].append(tuple(blobs))
+    for part in list(held):
+        asked, stored = held.pop(part)
+        if asked and stored:
+            yield from flush(asked, stored)
 
 
 LINK = "k long, at long, k2 long, at2 long, edits int"
@@ -266,33 +345,52 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame:
-    """The candidate pairs (k, k2) that are near-equal, the later text (by time, then id) first; lengths are compared before words move."""
+    """The candidate pairs (k, k2) that are near-equal, the later text (by batch, time, then id) first; lengths are compared before words move."""
     left = texts.select("k", F.col("id").alias("i1"), F.col("at").alias("a1"), F.col("n").alias("n1"), F.col("words").alias("w1"))
     right = others.select(F.col("k").alias("k2"), F.col("id").alias("i2"), F.col("at").alias("a2"), F.col("n").alias("n2"), F.col("words").alias("w2"))
-    few = bounded(Cut(pairs.select("k", "k2"), "pairs").df)
-    rows = Cut(left.join(few, "k"), "left").df
+    rows = Cut(left.join(bounded(pairs.select("k", "k2")), "k"), "left").df
     words = rows.agg(F.sum("n1")).first()[0] or 0
     # four bytes a word: the words of one side are broadcast only if counted to be a few MB
     rows = right.join(F.broadcast(rows), "k2") if words <= 4_000_000 else rows.join(right, "k2")
     rows = rows.filter(F.abs(F.col("n1") - F.col("n2")) <= F.floor(F.greatest("n1", "n2") / 10))
-    later = F.struct("a1", "i1") > F.struct(F.col("a2").alias("a1"), F.col("i2").alias("i1"))
+    later = F.struct(F.shiftright("k", BATCH_BITS).alias("b"), "a1", "i1") > F.struct(F.shiftright("k2", BATCH_BITS).alias("b"), F.col("a2").alias("a1"), F.col("i2").alias("i1"))
     pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
     return rows.select(pick("k", "k2").alias("k"), pick("a1", "a2").alias("at"), pick("k2", "k").alias("k2"), pick("a2", "a1").alias("at2"), "w1", "w2").mapInPandas(_verified, LINK)
 
 
 class History:
-    """The persistent state: classes (cls -> accepted id), accepted texts with their words and fingerprints, Bloom filters, and the
-    fingerprints that were big; one sub-folder for each batch, so a batch that dies leaves nothing half-written that later ones read."""
+    """The persistent state in one folder, which can be opened again and again:
 
-    def __init__(self, spark: SparkSession, path: str, partitions: int = PARTITIONS):
-        """partitions: fixed for a history. A task holds at least one, 16 bytes for each fingerprint of a batch in it and 12 bits for each
-        of history; 64 serve batches of some hundred million fingerprints, larger ones take more."""
-        self.spark, self.path, self.partitions, self.batches = spark, path, partitions, 0
+    - accepted: the texts with their words, a sub-folder for each batch, so that words are fetched from the batches that candidates name;
+    - prints: the fingerprint store, a sub-folder for each batch and partition of fingerprints, of which a batch reads those its positives name;
+    - bloom: the filters of all partitions, rewritten with each batch; at 12 bits a fingerprint, they are a hundredth of the texts;
+    - classes: (digest, accepted id) of all texts met, for exact copies;
+    - done: a mark for each batch that is complete. What a batch that died has left behind is overwritten by the next.
+    """
 
-    def _read(self, name: str, schema: str) -> DataFrame | None:
-        if not self.batches:
-            return None
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/batch={i}" for i in range(self.batches)])
+    def __init__(self, spark: SparkSession, path: str, partitions: int = PARTITIONS):
+        """partitions: fixed when a history is made, kept when it is opened again. A task holds at least one, 16 bytes for each fingerprint
+        of a batch in it and 12 bits for each of history; 64 serve batches of some hundred million fingerprints, larger ones take more."""
+        self.spark, self.path = spark, path
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        made = [x.getPath().getName() for x in self._fs.globStatus(self._path(f"{path}/partitions=*"))]
+        self.partitions = int(made[0].split("=")[1]) if made else partitions
+        if not made:
+            self._fs.mkdirs(self._path(f"{path}/partitions={partitions}"))
+        self.batches = len(self._fs.globStatus(self._path(f"{path}/done/batch=*")))
+
+    def _read(self, name: str, schema: str, batches: list[int] | None = None) -> DataFrame:
+        """A table of the history, or of the given batches of it; empty if there are none."""
+        asked = range(self.batches) if batches is None else batches
+        if not asked:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/batch={i}" for i in asked])
+
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> None:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}/batch={self.batches}")
 
     def add(self, texts: DataFrame) -> DataFrame:
         """Takes (id, at, content) rows that all come after the history; gives (id, accepted_id, edits) of the duplicates."""
@@ -301,7 +399,7 @@ class History:
         shaped = shaped_cut.df
         # exact copies collapse to their earliest; only that one is compared any further
         firsts = shaped.groupBy("cls").agg(F.min(F.struct("at", "id", "k")).alias("first")).select("cls", "first.id", "first.k")
-        known = self._read("classes", "cls binary, accepted string")
+        known = self._read("classes", "cls binary, accepted string") if self.batches else None
         new = firsts if known is None else firsts.join(known, "cls", "left_anti")
         new = Cut(new, "new").df
         copies = bounded(Cut(shaped.select("k").join(new.select("k"), "k", "left_anti"), "copies").df)
@@ -311,49 +409,62 @@ class History:
         members = Cut(shaped.select("id", "cls"), "members").df
         shaped_cut.drop()
 
-        blobs = reps.select("k", "fps").mapInArrow(_parted(self.partitions), "part int, fps binary, ks binary, bits binary")
-        bloom = self._read("bloom", "part int, bits binary")
-        if bloom is not None:
-            none = F.lit(None).cast("binary")
-            blobs = blobs.unionByName(bloom.select("part", none.alias("fps"), none.alias("ks"), "bits"))
-        screened_cut = Cut(blobs.repartition("part").mapInArrow(_screen, SCREEN), "screened")
+        none = lambda kind: F.lit(None).cast(kind)
+        blobs_cut = Cut(reps.select("k", "few", "fps").mapInArrow(_parted(self.partitions), BLOBS), "blobs")
+        rows = blobs_cut.df.select("part", "fps", "ks", none("binary").alias("bits"), none("int").alias("level"), none("long").alias("n"))
+        if self.batches:
+            bloom = self._read("bloom", "part int, level int, n long, bits binary", [self.batches - 1])
+            rows = rows.unionByName(bloom.select("part", none("binary").alias("fps"), none("binary").alias("ks"), "bits", "level", "n"))
+        screened_cut = Cut(rows.repartition("part").mapInArrow(_screen, SCREEN), "screened")
         screened = screened_cut.df
 
         short = reps.filter("few").select("k")
-        big = screened.filter("kind = 'big'").select("fp", "k")
-        links, leaders = self._within(screened, big, short, reps)
-        against = self._before(screened, short, reps)
-        dups = self._resolve(reps, against, links, leaders)
-        kept = reps.join(bounded(dups.select("k")), "k", "left_anti")
-        kept.write.parquet(f"{self.path}/accepted/batch={self.batches}")
-        reps_cut.drop()
-        screened.filter("kind = 'bits'").select("part", "bits").write.parquet(f"{self.path}/bloom/batch={self.batches}")
-        big.select("fp").distinct().write.parquet(f"{self.path}/big/batch={self.batches}")
+        within, leaders = self._within(screened.filter("kind = 'pair'"), screened.filter("kind = 'big'").select("fp", "k"), short)
+        pairs, others = within, reps.select("k", "id", "at", "n", "words")
+        if self.batches:
+            before = self._before(screened.filter("kind = 'old' and fp > 0"), short)
+            pairs = Cut(within.select("k", "k2").unionByName(before), "pairs").df
+            named = [r[0] for r in pairs.select(F.shiftright("k2", BATCH_BITS).alias("b")).distinct().collect() if r[0] < self.batches]
+            others = others.unionByName(self._read("accepted", "k long, id string, at long, n int, words binary", sorted(named)).select("k", "id", "at", "n", "words"))
+        else:
+            pairs = Cut(pairs, "pairs").df
+        links = Cut(_verify(pairs, reps, others), "links").df
+        own = F.shiftright("k2", BATCH_BITS) == self.batches
+        dups = self._resolve(reps, links.filter(~own), links.filter(own), leaders)
+        gone = bounded(dups.select("k"))
+        self._write(reps.drop("fps", "few").join(gone, "k", "left_anti"), "accepted")
+        reps_accepted = reps.select("k", "few", "fps").join(gone, "k", "left_anti")
+        self._write(reps_accepted.mapInArrow(_parted(self.partitions), BLOBS), "prints", "part")
+        self._write(screened.filter("kind = 'bits'").select("part", F.col("fp").cast("int").alias("level"), F.col("k").alias("n"), "bits"), "bloom")
         # every member of a class goes with its first text, or to the accepted text that one repeats
-        self.batches += 1
-        name = self._read("accepted", "id string, k long").select(F.col("k").alias("k2"), F.col("id").alias("accepted"))
-        named = dups.join(name, "k2").select("k", "accepted", "edits")
-        outcome = new.join(named, "k", "left").select("cls", F.coalesce("accepted", "id").alias("accepted"), F.coalesce("edits", F.lit(0)).alias("edits"))
+        name = reps.select("k", "id")
+        if self.batches:
+            name = name.unionByName(self._read("accepted", "k long, id string", sorted(named)).select("k", "id"))
+        named_dups = dups.join(name.select(F.col("k").alias("k2"), F.col("id").alias("accepted")), "k2").select("k", "accepted", "edits")
+        outcome = new.join(named_dups, "k", "left").select("cls", F.coalesce("accepted", "id").alias("accepted"), F.coalesce("edits", F.lit(0)).alias("edits"))
         outcome = Cut(outcome, "outcome").df
-        outcome.select("cls", "accepted").write.parquet(f"{self.path}/classes/batch={self.batches - 1}")
+        self._write(outcome.select("cls", "accepted"), "classes")
         if known is not None:
             again = members.select("cls").distinct().join(known, "cls")
             outcome = outcome.unionByName(again.select("cls", "accepted", F.lit(0).alias("edits")))
         found = members.join(outcome, "cls").filter("id <> accepted").select("id", F.col("accepted").alias("accepted_id"), "edits")
         found = Cut(found.distinct(), "found").df
-        screened_cut.drop()
-        release(self.spark)
+        self._fs.mkdirs(self._path(f"{self.path}/done/batch={self.batches}"))
+        if self.batches > 1:  # the filters before the last are kept until the batch is complete
+            delete(self.spark, f"{self.path}/bloom/batch={self.batches - 2}")
+        self.batches += 1
+        for used in (reps_cut, blobs_cut, screened_cut):
+            used.drop()
         return found
 
-    def _within(self, screened: DataFrame, big: DataFrame, short: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Near-equal pairs inside the batch, and the memberships (fp, k) of groups too large for pairs.
+    def _within(self, pair: DataFrame, big: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs inside the batch, and the memberships (fp, k) of groups too large for pairs.
 
         Near-equal texts share two fingerprints at least, unless both are few: a pair that met only once, or a text in only one big
         group, counts no further unless the other shared one may be hidden in a big group.
         """
         in_big = big.select("k").distinct()
-        met = screened.filter("kind = 'pair'").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"))
-        met = Cut(met, "met").df
+        met = Cut(pair.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")), "met").df
         once = met.filter("c = 1")
         rest = once.join(in_big, "k", "left_semi").join(in_big.withColumnRenamed("k", "k2"), "k2", "left_semi").select("k", "k2")
         brief = once.join(short, "k", "left_semi").select("k", "k2").union(once.join(short.withColumnRenamed("k", "k2"), "k2", "left_semi").select("k", "k2"))
@@ -363,34 +474,27 @@ class History:
         left = open_.join(sizes.filter(F.col("c") <= PAIRED_GROUP).select("fp"), "fp", "left_semi")
         paired = left.join(left.withColumnRenamed("k", "k2"), "fp").filter("k < k2").select("k", "k2")
         pairs = met.filter("c > 1").select("k", "k2").union(rest).union(brief).union(paired).distinct()
-        links = Cut(_verify(pairs, reps, reps), "links").df
-        return links, open_.join(sizes.filter(F.col("c") > PAIRED_GROUP).select("fp"), "fp", "left_semi")
-
-    def _before(self, screened: DataFrame, short: DataFrame, reps: DataFrame) -> DataFrame:
-        """Near-equal pairs of the batch's texts with accepted ones: filter positives looked up in the store, counted, verified."""
-        accepted = self._read("accepted", "id string, at long, n int, few boolean, words binary, fps array<long>, k long")
-        if accepted is None:
-            return self.spark.createDataFrame([], LINK)
-        old = screened.filter("kind = 'old'").select("fp", "k")
-        store = accepted.select(F.explode("fps").alias("fp"), F.col("k").alias("k2"))
-        hot = self._read("big", "fp long").distinct().withColumn("hot", F.lit(True))
-        old = Cut(old.join(hot, "fp", "left"), "old").df
-        # big fingerprints link only texts that have two of them, on both sides, or are few
-        hot_old = old.filter("hot")
-        two = lambda df, k: df.groupBy(k).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(k)
-        hot_store = store.join(hot.select("fp"), "fp", "left_semi")
-        hot_met = hot_old.join(two(hot_old, "k"), "k", "left_semi").select("fp", "k").join(hot_store.join(two(hot_store, "k2"), "k2", "left_semi"), "fp")
-        met = store.join(bounded(old.filter("hot is null").select("fp", "k")), "fp").select("k", "k2").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"))
-        met = Cut(met, "met").df
+        return pairs, open_.join(sizes.filter(F.col("c") > PAIRED_GROUP).select("fp"), "fp", "left_semi")
+
+    def _before(self, asked: DataFrame, short: DataFrame) -> DataFrame:
+        """Candidate pairs of the batch's texts with accepted ones: filter positives looked up in the partitions of the store they name."""
+        none = F.lit(None).cast("binary")
+        parts = [r[0] for r in asked.select("part").collect()]  # at most as many as there are partitions
+        if not parts:
+            return self.spark.createDataFrame([], "k long, k2 long")
+        store = self._read("prints", f"batch int, {BLOBS}").filter(F.col("part").isin(parts)).select("part", none.alias("asked"), "fps", "ks", "fews")
+        rows = asked.select("part", F.col("bits").alias("asked"), none.alias("fps"), none.alias("ks"), none.alias("fews")).unionByName(store)
+        looked = Cut(rows.repartition("part").mapInArrow(_look_up, FOUND), "looked").df
+        met = Cut(looked.filter("kind = 'met'").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"), F.max("few2").alias("few2")), "met").df
+        new, old = looked.filter("kind = 'new'").select("fp", "k"), looked.filter("kind = 'old'").select("fp", "k2", "few2")
         once = met.filter("c = 1")
-        rest = once.join(hot_old.select("k").distinct(), "k", "left_semi").select("k", "k2").union(once.join(short, "k", "left_semi").select("k", "k2"))
-        few = accepted.filter("few").select(F.col("k").alias("k2"))
-        rest = rest.union(once.join(few, "k2", "left_semi").select("k", "k2"))
-        # one shared fingerprint is all that two few texts may have, be it a big one
-        brief = hot_old.join(short, "k", "left_semi").select("fp", "k").join(hot_store.join(few, "k2", "left_semi"), "fp").select("k", "k2")
-        rest = rest.union(brief)
-        pairs = met.filter("c > 1").select("k", "k2").union(rest).union(hot_met.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2")).distinct()
-        return Cut(_verify(pairs, reps, accepted), "against").df
+        # the other shared one may be hot, or one is all that there is
+        rest = once.join(new.select("k").union(short).distinct(), "k", "left_semi").union(once.filter("few2")).select("k", "k2")
+        # hot fingerprints link only texts that have two of them, on both sides, or are few
+        two = lambda df, k: df.groupBy(k).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(k)
+        hot = new.join(two(new, "k"), "k", "left_semi").select("fp", "k").join(old.join(two(old, "k2"), "k2", "left_semi").select("fp", "k2"), "fp").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2")
+        brief = new.join(short, "k", "left_semi").select("fp", "k").join(old.filter("few2"), "fp").select("k", "k2")
+        return met.filter("c > 1").select("k", "k2").union(rest).union(hot).union(brief).distinct()
 
     def _resolve(self, reps: DataFrame, against: DataFrame, links: DataFrame, big: DataFrame) -> DataFrame:
         """(k, k2: the accepted text it repeats, edits). A text whose earlier near-equals are all settled is settled itself.
@@ -426,17 +530,19 @@ class History:
         return parts
 
 
-def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 2, partitions: int = PARTITIONS) -> DataFrame:
+def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches: int = 4, partitions: int = PARTITIONS, bounds: list[int] | None = None, path: str | None = None) -> DataFrame:
     """(id, accepted_id, edits) of all duplicates, feeding the rows to a fresh history in consecutive batches of the order column.
 
-    The outcome does not depend on how many batches there are: texts are settled strictly in order.
+    bounds: the last microsecond of each batch but the last; else the rows are cut into equal parts. path: where the history is made and stays;
+    else it is deleted. The outcome does not depend on the batches: texts are settled strictly in order.
     """
     spark = episodes.sparkSession
     us = F.unix_micros(F.col(order).cast("timestamp"))
     rows = episodes.filter(F.col(id).isNotNull() & F.col(content).isNotNull())
-    bounds = rows.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    if bounds is None:
+        bounds = rows.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     bounds = sorted(set(bounds))
-    history = History(spark, new_path(spark, "history"), partitions)
+    history = History(spark, path or new_path(spark, "history"), partitions)
     out = None
     kind = dict(episodes.dtypes)[order]
     for lo, hi in zip([None, *bounds], [*bounds, None]):
@@ -449,5 +555,6 @@ def deduplicate(episodes: DataFrame, id: str, content: str, order: str, batches:
             part = part.filter(F.col(order) <= F.timestamp_micros(F.lit(hi)).cast(kind))
         found = history.add(part.select(F.col(id).alias("id"), F.coalesce(us, F.lit(2**62)).alias("at"), F.col(content).alias("content")))
         out = found if out is None else out.unionByName(found)
-    delete(spark, history.path)
+    if path is None:
+        delete(spark, history.path)
     return out

@@ -67,7 +67,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("paired,batches", [(512, 3), (3, 1)])
+@pytest.mark.parametrize("paired,batches", [(512, 2), (512, 5), (3, 1)])
 def test_equals_brute_force(spark, monkeypatch, paired, batches):
     monkeypatch.setattr(H, "PAIRED_GROUP", paired)
     r = random.Random(4)
@@ -102,3 +102,50 @@ def test_few_texts_meet_by_one_big_fingerprint_of_an_earlier_batch(spark):
     df = spark.createDataFrame(rows, "id string, at_s int, content string").withColumn("t", F.timestamp_seconds("at_s").cast("timestamp_ntz"))
     got = {x["id"]: x["accepted_id"] for x in H.deduplicate(df, "id", "content", "t", 2).collect()}
     assert got == {f"b{i:02d}": f"a{i:02d}" for i in range(40)} == brute(rows)
+
+
+def shared_ending(n, common):
+    """Texts of ten words, of which the first five are common: over 32 share a fingerprint."""
+    rows = [(f"a{i:02d}", i, f"{common} " + " ".join(f"w{i}x{j}" for j in range(5))) for i in range(n)]
+    return [*rows, ("z", 1000, rows[7][2].replace("w7x2", "other"))]
+
+
+@pytest.mark.parametrize("sharers", [20, 40])
+def test_short_texts_with_one_common_beginning(spark, sharers):
+    rows = shared_ending(sharers, "this release of our service")
+    df = spark.createDataFrame(rows, "id string, at_s int, content string").withColumn("t", F.timestamp_seconds("at_s").cast("timestamp_ntz"))
+    for batches in (1, 2, 5):
+        assert [(x["id"], x["accepted_id"], x["edits"]) for x in H.deduplicate(df, "id", "content", "t", batches).collect()] == [("z", "a07", 1)]
+
+
+def test_many_batches_into_a_history_that_is_opened_again(spark, tmp_path):
+    """32 batches, each through a History object of its own; brute force is met, filters grow by levels, partitions stay those of the folder."""
+    r = random.Random(9)
+    rows = shared_ending(40, "this release of our service")
+    rows += [(f"m{k:03d}", 20 * k, " ".join(r.choice(["alpha", "beta"]) + str(r.randint(0, 9)) for _ in range(12))) for k in range(60)]
+    rows += [(f"n{k:03d}", 1001 + k, rows[41 + k][2].upper() + ("" if k % 2 else " x")) for k in range(60)]
+    rows = sorted(rows, key=lambda x: (x[1], x[0]))
+    size = -(-len(rows) // 32)
+    got = {}
+    path = f"file://{tmp_path}/history"
+    for b in range(32):
+        part = rows[b * size : (b + 1) * size]
+        if not part:
+            continue
+        history = H.History(spark, path, partitions=4 if b == 0 else 64)
+        assert history.partitions == 4 and history.batches == b
+        df = spark.createDataFrame(part, "id string, at long, content string")
+        got |= {x["id"]: x["accepted_id"] for x in history.add(df).collect()}
+    assert got == brute(rows)
+
+
+def test_a_batch_that_died_is_overwritten(spark, tmp_path):
+    path = f"file://{tmp_path}/history"
+    one = spark.createDataFrame([("a", 1, "one two three four five six seven eight nine ten")], "id string, at long, content string")
+    H.History(spark, path).add(one)
+    two = spark.createDataFrame([("b", 2, "One two three four five six seven eight nine ten")], "id string, at long, content string")
+    (tmp_path / "history" / "accepted" / "batch=1").mkdir()
+    (tmp_path / "history" / "prints" / "batch=1").mkdir()
+    assert [tuple(x) for x in H.History(spark, path).add(two).collect()] == [("b", "a", 0)]
+    # the same batch again finds the copies it made
+    assert H.History(spark, path).batches == 2
