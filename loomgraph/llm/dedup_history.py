@@ -4,12 +4,12 @@ store for what the filters let through, and verification of the shared words.
 Near-equal: word edits (insert, delete, replace) at most a tenth of the longer text's words; words are split at white space and
 compared in lower case without punctuation. Texts under ten words are therefore near-equal only if equal.
 
-Nothing near-equal is missed by the fingerprints. Each of k edits changes at most five of the five-word shingles, so of D distinct
-ones at least D - 5 k are common, and never none: the longer text has N - 4 places of which k <= N / 10 edits change 5 k at most. All
-shingles are put into one fixed order, and each text is winnowed to the first 5 k + 2 of them; the two first common ones are then
-among these in both texts (the first, where only one is sure: such texts are marked few). Shingles of everyday words come last
-in the order, so phrases of the house style, which form huge groups, are what falls away. (Winnowing by small windows was tried:
-it must keep a pick from every window, also from those that hold nothing but such phrases.)
+Nothing near-equal is missed by the fingerprints. They are single words, a repeated one told apart by how often it came before, so
+each of k edits changes at most one of a text's n: of two near-equal texts at least n - k are common. All words are put into one
+fixed order, and each text is winnowed to the first k + 2 of them; the two first common ones are then among these in both texts. Long
+words and words with digits come first in the order, as they are rare; words of the house style, which form huge groups, are what
+falls away. (Winnowing by small windows was tried: it must keep a pick from every window, also from those that hold nothing but such
+words. So were shingles of five words: an edit changes five, so 5 k + 2 are kept, and these reach into the phrases of the house style.)
 
 Rows without an id, and null or wordless contents, are no episodes here. Repeated ids are one episode. A null time sorts last. Ties
 go by id. Of several accepted partners the one with the fewest edits, then the earliest, is given.
@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from ..session import Cut, bounded, delete, new_path
 
-Q = 5
 PARTITIONS = 64
+#: Texts of fewer words are near-equal only if equal.
+LEAST_WORDS = 9
 BITS, HASHES = 12, 4
 #: Fingerprints the first Bloom filter of a partition is made for; each further one takes four times as many.
 FIRST = 1 << 12
-#: Groups of more texts than this that share a fingerprint are big: their texts meet only if they share a second fingerprint.
+#: Groups of more texts than this that share a fingerprint are big: their texts meet only if they share a second fingerprint, so by the twos of them.
 SMALL_GROUP = 32
-#: What is left of a big group meets in pairs up to this size, and leader by leader beyond it.
+#: Texts with the same two big fingerprints meet in pairs up to this size, and leader by leader beyond it.
 PAIRED_GROUP = 512
 _DROP = re.compile(r"[^\w\s]|_")
 
@@ -90,36 +91,20 @@ def most_edits(n: np.ndarray) -> np.ndarray:
     return (n * 10 // 9) // 10
 
 
-def fingerprints(lengths: np.ndarray, hashes: np.ndarray, strong: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, fingerprint) for texts laid end to end, and for each text whether it is few; strong marks words that are not everyday ones."""
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    total, few = len(hashes), np.ones(len(lengths), bool)
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64), few
-    if total < Q:
-        return nothing
+def fingerprints(lengths: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, fingerprint) for texts laid end to end, and for each text whether it is too short to have any; words of great weight come first."""
+    few = lengths < LEAST_WORDS
+    starts = np.cumsum(lengths) - lengths
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    h = np.zeros(total - Q + 1, np.uint64)
-    weak = np.full(total - Q + 1, Q, np.uint64)
-    for i in range(Q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[i : total - Q + 1 + i]
-        weak -= strong[i : total - Q + 1 + i].astype(np.uint64)
-    h = _mix(h)
-    order = (weak << np.uint64(60)) | (h >> np.uint64(4))
-    d = doc[: len(h)]
-    n = lengths[d]
-    picked = np.flatnonzero((np.arange(len(h)) + Q <= starts[d] + n) & (n >= 9))  # the shingle ends in its own text
-    if not len(picked):
-        return nothing
-    picked = picked[np.lexsort((h[picked], order[picked], d[picked]))]
-    fresh = np.ones(len(picked), bool)
-    fresh[1:] = (d[picked][1:] != d[picked][:-1]) | (h[picked][1:] != h[picked][:-1])
-    picked = picked[fresh]
-    owner = d[picked]
-    counts = np.bincount(owner, minlength=len(lengths))
-    rank = np.arange(len(picked)) - np.concatenate(([0], np.cumsum(counts)[:-1]))[owner]
-    most = Q * most_edits(lengths) + 2
-    use = rank < most[owner]
-    return owner[use], h[picked[use]], counts < most
+    by = np.lexsort((hashes, doc))
+    h, weight = hashes[by], weights[by]
+    # texts follow one another as before, so doc and starts still hold
+    fresh = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
+    again = np.arange(len(h)) - np.repeat(fresh, np.diff(np.append(fresh, len(h))))
+    h = _mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = h[np.lexsort((h, -weight, doc))]
+    use = (np.arange(len(h)) - starts[doc] < most_edits(lengths)[doc] + 2) & ~few[doc]
+    return doc[use], h[use], few
 
 
 SHAPE = "id string, at long, cls binary, n int, few boolean, words binary, fps array<long>"
@@ -135,9 +120,9 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = [w for t in texts for w in t]
         codes, uniques = pd.factorize(np.array(flat, object))
         own = pd.util.hash_array(np.array(uniques, object), categorize=False) if len(uniques) else np.zeros(0, np.uint64)
-        strong = np.array([len(u) >= 12 or sum(c.isdigit() for c in u) >= 4 for u in uniques], bool)
+        weights = np.array([min(len(u), 24) + 2 * sum(c.isdigit() for c in u) for u in uniques], np.int64)
         hashes = own[codes] if len(codes) else np.zeros(0, np.uint64)
-        docs, fps, few = fingerprints(lengths, hashes, strong[codes] if len(codes) else np.zeros(0, bool))
+        docs, fps, few = fingerprints(lengths, hashes, weights[codes] if len(codes) else np.zeros(0, np.int64))
         ends = np.concatenate(([0], np.cumsum(lengths)))
         cuts = np.searchsorted(docs, np.arange(len(texts) + 1)).astype(np.int32)
         raw = hashes.tobytes()
@@ -150,22 +135,21 @@ def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parted(partitions: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(k, few, fps) -> one row for each partition of fingerprints and batch, its numbers side by side in blobs: a shuffle of few, long rows."""
+    """(k, fps) -> one row for each partition of fingerprints and batch, its numbers side by side in blobs: a shuffle of few, long rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy())
             fp = lists.flatten().to_numpy(zero_copy_only=False)
             k = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)
-            few = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)
             part = fp.view(np.uint64) % np.uint64(partitions)
             by = np.lexsort((fp, part))
-            part, fp, k, few = part[by], fp[by], k[by], few[by]
+            part, fp, k = part[by], fp[by], k[by]
             edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
             spans = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-            blobs = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (fp, k, few)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), *blobs], names=["part", "fps", "ks", "fews"])
+            blobs = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (fp, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), *blobs], names=["part", "fps", "ks"])
 
     return run
 
@@ -196,7 +180,7 @@ class Bloom:
         return out
 
 
-BLOBS = "part int, fps binary, ks binary, fews binary"
+BLOBS = "part int, fps binary, ks binary"
 SCREEN = "kind string, part int, fp long, k long, k2 long, bits binary"
 
 
@@ -272,30 +256,29 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-FOUND = "kind string, fp long, k long, k2 long, few2 boolean"
+FOUND = "kind string, fp long, k long, k2 long"
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, asked, fps, ks, fews): what a batch asks for and what the store holds, partition by partition -> 'met' pairs (k, k2) of
+    """Rows (part, asked, fps, ks): what a batch asks for and what the store holds, partition by partition -> 'met' pairs (k, k2) of
     fingerprints that few stored texts have; of others, which are hot, the memberships of both sides ('new' with k, 'old' with k2)."""
 
-    def flush(asked: list[bytes], stored: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def flush(asked: list[bytes], stored: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         halves = [np.frombuffer(x, np.int64) for x in asked]
         fp, k = (np.concatenate([x[: len(x) // 2] for x in halves]), np.concatenate([x[len(x) // 2 :] for x in halves]))
         by = np.argsort(fp, kind="stable")
         fp, k = fp[by], k[by]
         wanted = np.unique(fp)
-        f2, k2, few2 = [], [], []
-        for fps, ks, fews in stored:
+        f2, k2 = [], []
+        for fps, ks in stored:
             x = np.frombuffer(fps, np.int64)
             at = np.searchsorted(wanted, x)
             ok = wanted[np.minimum(at, len(wanted) - 1)] == x
             f2.append(x[ok])
             k2.append(np.frombuffer(ks, np.int64)[ok])
-            few2.append(np.frombuffer(fews, bool)[ok])
-        f2, k2, few2 = (np.concatenate(x) for x in (f2, k2, few2))
+        f2, k2 = (np.concatenate(x) for x in (f2, k2))
         by = np.argsort(f2, kind="stable")
-        f2, k2, few2 = f2[by], k2[by], few2[by]
+        f2, k2 = f2[by], k2[by]
         n = np.searchsorted(f2, fp, "right") - np.searchsorted(f2, fp)
         some = (n > 0) & (n <= SMALL_GROUP)
         lo = np.searchsorted(f2, fp[some])
@@ -310,14 +293,13 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate((f2[j], fp[hot], f2[own]))),
                 pa.array(np.concatenate((np.repeat(k[some], n[some]), k[hot], zero(c)))),
                 pa.array(np.concatenate((k2[j], zero(b), k2[own]))),
-                pa.array(np.concatenate((few2[j], np.zeros(b, bool), few2[own]))),
             ],
             names=[c.split()[0] for c in FOUND.split(", ")],
         )
 
     held: dict[int, tuple[list, list]] = {}
     for batch in batches:
-        for part, asked, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for part, asked, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4))):
             own = held.setdefault(part, ([], []))
             if asked is not None:
                 own[0].append(asked)
@@ -358,6 +340,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, others: DataFrame) -> DataFrame:
     return rows.select(pick("k", "k2").alias("k"), pick("a1", "a2").alias("at"), pick("k2", "k").alias("k2"), pick("a2", "a1").alias("at2"), "w1", "w2").mapInPandas(_verified, LINK)
 
 
+def _lists(rows: DataFrame, k: str) -> DataFrame:
+    """(k, fps): the big fingerprints of each text."""
+    return rows.groupBy(k).agg(F.collect_set("fp").alias("fps"))
+
+
+def _twos(lists: DataFrame, k: str) -> DataFrame:
+    """(fp, k) with a key for every two of a text's big fingerprints."""
+    ones = lists.select(k, "fps", F.explode("fps").alias("a"))
+    return ones.select(k, "a", F.explode(F.filter("fps", lambda b: b > F.col("a"))).alias("b")).select(F.xxhash64("a", "b").alias("fp"), k)
+
+
+def _one_more(met: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs that met only once but share a big fingerprint besides; left and right: (k, fps) and (k2, fps)."""
+    once = met.filter("c = 1").select("k", "k2").join(left, "k").join(right.withColumnRenamed("fps", "fps2"), "k2")
+    return once.filter(F.arrays_overlap("fps", "fps2")).select("k", "k2")
+
+
 class History:
     """The persistent state in one folder, which can be opened again and again:
 
@@ -410,7 +409,7 @@ class History:
         shaped_cut.drop()
 
         none = lambda kind: F.lit(None).cast(kind)
-        blobs_cut = Cut(reps.select("k", "few", "fps").mapInArrow(_parted(self.partitions), BLOBS), "blobs")
+        blobs_cut = Cut(reps.select("k", "fps").mapInArrow(_parted(self.partitions), BLOBS), "blobs")
         rows = blobs_cut.df.select("part", "fps", "ks", none("binary").alias("bits"), none("int").alias("level"), none("long").alias("n"))
         if self.batches:
             bloom = self._read("bloom", "part int, level int, n long, bits binary", [self.batches - 1])
@@ -418,11 +417,10 @@ class History:
         screened_cut = Cut(rows.repartition("part").mapInArrow(_screen, SCREEN), "screened")
         screened = screened_cut.df
 
-        short = reps.filter("few").select("k")
-        within, leaders = self._within(screened.filter("kind = 'pair'"), screened.filter("kind = 'big'").select("fp", "k"), short)
+        within, leaders = self._within(screened.filter("kind = 'pair'"), screened.filter("kind = 'big'").select("fp", "k"))
         pairs, others = within, reps.select("k", "id", "at", "n", "words")
         if self.batches:
-            before = self._before(screened.filter("kind = 'old' and fp > 0"), short)
+            before = self._before(screened.filter("kind = 'old' and fp > 0"))
             pairs = Cut(within.select("k", "k2").unionByName(before), "pairs").df
             named = [r[0] for r in pairs.select(F.shiftright("k2", BATCH_BITS).alias("b")).distinct().collect() if r[0] < self.batches]
             others = others.unionByName(self._read("accepted", "k long, id string, at long, n int, words binary", sorted(named)).select("k", "id", "at", "n", "words"))
@@ -433,7 +431,7 @@ class History:
         dups = self._resolve(reps, links.filter(~own), links.filter(own), leaders)
         gone = bounded(dups.select("k"))
         self._write(reps.drop("fps", "few").join(gone, "k", "left_anti"), "accepted")
-        reps_accepted = reps.select("k", "few", "fps").join(gone, "k", "left_anti")
+        reps_accepted = reps.select("k", "fps").join(gone, "k", "left_anti")
         self._write(reps_accepted.mapInArrow(_parted(self.partitions), BLOBS), "prints", "part")
         self._write(screened.filter("kind = 'bits'").select("part", F.col("fp").cast("int").alias("level"), F.col("k").alias("n"), "bits"), "bloom")
         # every member of a class goes with its first text, or to the accepted text that one repeats
@@ -457,46 +455,44 @@ class History:
             used.drop()
         return found
 
-    def _within(self, pair: DataFrame, big: DataFrame, short: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs inside the batch, and the memberships (fp, k) of groups too large for pairs.
+    def _within(self, pair: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Candidate pairs inside the batch, and the memberships (fp, k) of groups too large for pairs, if there are any.
 
-        Near-equal texts share two fingerprints at least, unless both are few: a pair that met only once, or a text in only one big
-        group, counts no further unless the other shared one may be hidden in a big group.
+        Near-equal texts share two fingerprints at least: both in small groups, one in a small and one in a big group, or a two of big ones.
         """
-        in_big = big.select("k").distinct()
         met = Cut(pair.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")), "met").df
-        once = met.filter("c = 1")
-        rest = once.join(in_big, "k", "left_semi").join(in_big.withColumnRenamed("k", "k2"), "k2", "left_semi").select("k", "k2")
-        brief = once.join(short, "k", "left_semi").select("k", "k2").union(once.join(short.withColumnRenamed("k", "k2"), "k2", "left_semi").select("k", "k2"))
-        several = big.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k").union(short)
-        open_ = Cut(big.join(several, "k", "left_semi"), "big").df
-        sizes = open_.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-        left = open_.join(sizes.filter(F.col("c") <= PAIRED_GROUP).select("fp"), "fp", "left_semi")
+        pairs = met.filter("c > 1").select("k", "k2")
+        if big.isEmpty():
+            return pairs, None
+        lists = Cut(_lists(big, "k"), "big").df
+        twos = Cut(_twos(lists, "k"), "twos").df
+        sizes = twos.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        left = twos.join(sizes.filter(F.col("c") <= PAIRED_GROUP).select("fp"), "fp", "left_semi")
         paired = left.join(left.withColumnRenamed("k", "k2"), "fp").filter("k < k2").select("k", "k2")
-        pairs = met.filter("c > 1").select("k", "k2").union(rest).union(brief).union(paired).distinct()
-        return pairs, open_.join(sizes.filter(F.col("c") > PAIRED_GROUP).select("fp"), "fp", "left_semi")
+        pairs = pairs.union(_one_more(met, lists, lists.withColumnRenamed("k", "k2"))).union(paired).distinct()
+        leaders = Cut(twos.join(sizes.filter(F.col("c") > PAIRED_GROUP).select("fp"), "fp", "left_semi"), "leaders").df
+        return pairs, None if leaders.isEmpty() else leaders
 
-    def _before(self, asked: DataFrame, short: DataFrame) -> DataFrame:
+    def _before(self, asked: DataFrame) -> DataFrame:
         """Candidate pairs of the batch's texts with accepted ones: filter positives looked up in the partitions of the store they name."""
         none = F.lit(None).cast("binary")
         parts = [r[0] for r in asked.select("part").collect()]  # at most as many as there are partitions
         if not parts:
             return self.spark.createDataFrame([], "k long, k2 long")
-        store = self._read("prints", f"batch int, {BLOBS}").filter(F.col("part").isin(parts)).select("part", none.alias("asked"), "fps", "ks", "fews")
-        rows = asked.select("part", F.col("bits").alias("asked"), none.alias("fps"), none.alias("ks"), none.alias("fews")).unionByName(store)
+        store = self._read("prints", f"batch int, {BLOBS}").filter(F.col("part").isin(parts)).select("part", none.alias("asked"), "fps", "ks")
+        rows = asked.select("part", F.col("bits").alias("asked"), none.alias("fps"), none.alias("ks")).unionByName(store)
         looked = Cut(rows.repartition("part").mapInArrow(_look_up, FOUND), "looked").df
-        met = Cut(looked.filter("kind = 'met'").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c"), F.max("few2").alias("few2")), "met").df
-        new, old = looked.filter("kind = 'new'").select("fp", "k"), looked.filter("kind = 'old'").select("fp", "k2", "few2")
-        once = met.filter("c = 1")
-        # the other shared one may be hot, or one is all that there is
-        rest = once.join(new.select("k").union(short).distinct(), "k", "left_semi").union(once.filter("few2")).select("k", "k2")
-        # hot fingerprints link only texts that have two of them, on both sides, or are few
-        two = lambda df, k: df.groupBy(k).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(k)
-        hot = new.join(two(new, "k"), "k", "left_semi").select("fp", "k").join(old.join(two(old, "k2"), "k2", "left_semi").select("fp", "k2"), "fp").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "k2")
-        brief = new.join(short, "k", "left_semi").select("fp", "k").join(old.filter("few2"), "fp").select("k", "k2")
-        return met.filter("c > 1").select("k", "k2").union(rest).union(hot).union(brief).distinct()
-
-    def _resolve(self, reps: DataFrame, against: DataFrame, links: DataFrame, big: DataFrame) -> DataFrame:
+        met = Cut(looked.filter("kind = 'met'").groupBy("k", "k2").agg(F.count(F.lit(1)).alias("c")), "met").df
+        pairs = met.filter("c > 1").select("k", "k2")
+        hot = looked.filter("kind = 'new'")
+        if hot.isEmpty():
+            return pairs
+        new = Cut(_lists(hot, "k"), "new").df
+        old = Cut(_lists(looked.filter("kind = 'old'"), "k2"), "old").df
+        both = _twos(new, "k").join(_twos(old, "k2"), "fp").select("k", "k2")
+        return pairs.union(_one_more(met, new, old)).union(both).distinct()
+
+    def _resolve(self, reps: DataFrame, against: DataFrame, links: DataFrame, big: DataFrame | None) -> DataFrame:
         """(k, k2: the accepted text it repeats, edits). A text whose earlier near-equals are all settled is settled itself.
 
         Texts in groups that share a fingerprint too often for pairs are compared with the group's earliest unsettled text
@@ -506,8 +502,8 @@ class History:
         without = lambda df, gone, *columns: [df := df.join(gone.select(F.col("k").alias(c)), c, "left_anti") for c in columns][-1]
         parts = Cut(best(against), "dups").df
         edges = Cut(without(links, parts, "k", "k2"), "edges").df
-        open_ = without(big, parts, "k")
-        leaders = not open_.isEmpty()
+        open_ = None if big is None else without(big, parts, "k")
+        leaders = open_ is not None and not open_.isEmpty()
         while leaders or not edges.isEmpty():
             near = edges
             alive, waiting = edges.select("k").union(edges.select("k2")), edges.select("k")

@@ -149,3 +149,21 @@ def test_a_batch_that_died_is_overwritten(spark, tmp_path):
     assert [tuple(x) for x in H.History(spark, path).add(two).collect()] == [("b", "a", 0)]
     # the same batch again finds the copies it made
     assert H.History(spark, path).batches == 2
+
+
+def test_house_style_brings_few_candidates(spark, monkeypatch):
+    """Texts that have long phrases in common, and long words of a small stock, are not all held against each other, within a batch or across two."""
+    r = random.Random(6)
+    stock = [f"identifier_of_{a}_{b}" for a in ("queue", "window", "review", "ledger") for b in ("owner", "handle", "prefix", "suffix")]
+    rows = []
+    for k in range(400):
+        own = " ".join(r.choice(stock) for _ in range(2)) + " " + " ".join(f"#{r.randrange(10**9):09d}" for _ in range(3))
+        rows.append((f"t{k:03d}", k, f"Repository maintainers acknowledged infrastructure responsibilities concerning {own} whenever authentication configuration specifications deteriorated"))
+    rows += [(f"u{k:03d}", 1000 + k, rows[k][2].replace("whenever", "after")) for k in range(0, 400, 40)]
+    pairs, before = [], H._verify
+    monkeypatch.setattr(H, "_verify", lambda p, *texts: [pairs.append(p.count()), before(p, *texts)][1])
+    df = spark.createDataFrame(rows, "id string, at_s int, content string").withColumn("t", F.timestamp_seconds("at_s").cast("timestamp_ntz"))
+    for batches in (1, 2):
+        got = {x["id"]: x["accepted_id"] for x in H.deduplicate(df, "id", "content", "t", batches).collect()}
+        assert got == {f"u{k:03d}": f"t{k:03d}" for k in range(0, 400, 40)}
+    assert sum(pairs) < 2 * len(rows)
