@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, active, at, valid_at
-from ..session import Cut
+from ..session import Cut, bounded
 from .skew import HOT_ROWS, running_count
 
 WALKED = ["likely_owner_of", "co_changes_with"]
@@ -65,22 +65,35 @@ def neighbours(g: Graph, ids: DataFrame, depth: int = 1, kinds: list[str] | None
 
 
 def shortest_paths(g: Graph, start: DataFrame, goal: DataFrame, most: int = 10, direction: str = "both") -> DataFrame:
-    """(start, goal, length, path): a shortest path from each start to each goal, the least in id order among equals; up to `most` steps."""
-    steps = Cut(oriented(active(g.edges), direction).select("here", "there").distinct(), "steps").df
-    goals = goal.select(F.col("id").alias("goal"))
-    frontier = Cut(start.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct(), "paths").df
-    seen, out = frontier.select("start", "id"), None
-    wanted = start.select(F.col("id").alias("start")).distinct().crossJoin(F.broadcast(goals.distinct()))
-    for n in range(most + 1):
-        hit = frontier.join(goals, F.col("id") == F.col("goal")).select("start", "goal", F.lit(n).alias("length"), "path")
-        out = hit if out is None else out.unionByName(hit)
-        if frontier.isEmpty() or wanted.join(out.select("start", "goal"), ["start", "goal"], "left_anti").isEmpty():
+    """(start, goal, length, path): a shortest path from each start to each goal, the least in id order among equals; up to `most` steps.
+
+    Steps are counted back from the goals (goal, id, left), once for all starts; paths are then laid from the starts, each step to the
+    least id that is one step nearer, so only found paths are ever held. Rows grow with the goals, not with the starts.
+    """
+    steps_cut = Cut(oriented(active(g.edges), direction).select("here", "there").filter("here is not null and there is not null").distinct(), "steps")
+    steps = steps_cut.df
+    starts = Cut(start.select(F.col("id").alias("start")).filter("start is not null").distinct(), "starts").df
+    near = Cut(goal.select(F.col("id").alias("goal"), "id").filter("id is not null").distinct().withColumn("left", F.lit(0)), "near").df
+    goals, rings = near.select("goal"), [near]
+    wanted, seen = starts.crossJoin(F.broadcast(goals)), near
+    for n in range(1, most + 1):
+        if rings[-1].isEmpty() or wanted.join(seen.select("goal", F.col("id").alias("start")), ["goal", "start"], "left_anti").isEmpty():
             break
-        grown = frontier.join(steps, F.col("id") == F.col("here")).select("start", F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
-        grown = grown.join(seen, ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("path").alias("path"))
-        frontier = Cut(grown, "paths").df
-        seen = seen.union(frontier.select("start", "id"))
-    return out
+        # the few of a ring go to the steps, not the steps to them
+        met = bounded(rings[-1].select("goal", "id")).join(steps, F.col("id") == F.col("there")).select("goal", F.col("here").alias("id")).distinct()
+        rings.append(Cut(met.join(seen.select("goal", "id"), ["goal", "id"], "left_anti").withColumn("left", F.lit(n)), "near").df)
+        seen = seen.unionByName(rings[-1])
+    at = seen.join(starts, F.col("id") == F.col("start")).select("start", "goal", F.col("left").alias("length"), F.array("start").alias("path"), F.col("id").alias("at"))
+    paths = Cut(at, "paths").df
+    for n in range(len(rings) - 1, 0, -1):
+        # those with n steps left take one; the others have arrived, or begin later
+        ring = rings[n - 1].select("goal", F.col("id").alias("there"))
+        due = paths.filter(F.col("length") - F.size("path") + 1 == n)
+        onward = bounded(due.select("goal", F.col("at").alias("here")).distinct()).join(steps, "here").join(ring, ["goal", "there"]).groupBy("goal", "here").agg(F.min("there").alias("there"))
+        moved = due.join(onward.withColumnRenamed("here", "at"), ["goal", "at"]).select("start", "goal", "length", F.concat("path", F.array("there")).alias("path"), F.col("there").alias("at"))
+        paths = Cut(paths.filter(F.col("length") - F.size("path") + 1 != n).unionByName(moved), "paths").df
+    steps_cut.drop()
+    return paths.select("start", "goal", "length", "path")
 
 
 def top_co_changes(g: Graph, k: int = 5) -> DataFrame:

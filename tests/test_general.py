@@ -204,3 +204,40 @@ def test_shortest_paths_of_eight_steps_are_registered(spark, data, tmp_path):
     c.execute(f"copy n to '{tmp_path}/entities.parquet'; copy e to '{tmp_path}/edges.parquet'")
     got = retrieval.QUERIES["G3_shortest_path"](spark, str(tmp_path)).filter("start = 'ZCHAIN0'").collect()
     assert [(r["goal"], r["length"]) for r in got] == [(goal, 8)]
+
+
+def test_shortest_paths_hold_no_rows_for_each_start_and_record(spark, monkeypatch):
+    """300 records, 60 starts, two goals: paths equal brute force, and what is written does not grow with starts x records."""
+    from types import SimpleNamespace
+
+    from loomgraph.operators import traverse
+
+    r = random.Random(3)
+    links = [(f"n{i:03d}", f"n{r.randrange(max(1, i - 12), i + 1):03d}") for i in range(1, 300)] + [(f"n{r.randrange(300):03d}", f"n{r.randrange(300):03d}") for _ in range(60)]
+    e = spark.createDataFrame([(f"e{i}", a, b, "x", "observed", 1.0) for i, (a, b) in enumerate([*links, ("n000", None), (None, "n001")])], "id string, source_id string, target_id string, relation_type string, edge_kind string, confidence double")
+    edges = e.withColumn("invalidated_at", F.lit(None).cast("timestamp_ntz"))
+    starts, goals = [f"n{i:03d}" for i in range(0, 300, 5)] + ["alone"], ["n000", "n299"]
+    steps = {}
+    for a, b in links:
+        steps.setdefault(a, set()).add(b)
+        steps.setdefault(b, set()).add(a)
+    want = {}
+    for s in starts:
+        best, ring = {s: [s]}, {s: [s]}
+        for _ in range(6):
+            ring = {t: p for t, p in sorted(((t, [*p, t]) for i, p in ring.items() for t in steps.get(i, ())), key=lambda x: x[1], reverse=True) if t not in best}
+            best |= ring
+        want |= {(s, g): best[g] for g in goals if g in best}
+    rows = []
+
+    class Counted(traverse.Cut):
+        def __init__(self, *a, **k):
+            super().__init__(*a, **k)
+            rows.append(self.df.count())
+
+    monkeypatch.setattr(traverse, "Cut", Counted)
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = traverse.shortest_paths(SimpleNamespace(edges=edges), ids(starts), ids(goals), 6).collect()
+    assert {(x["start"], x["goal"]): x["path"] for x in got} == want and len(got) == len(want)
+    assert all(x["length"] == len(x["path"]) - 1 for x in got)
+    assert sum(rows) < 4000
