@@ -8,6 +8,10 @@ to exact reranking. What is still larger after DIGITS digits is made of vectors
 meet all, on the vectors themselves, as blocks of members that the whole bucket is streamed past. Such buckets with the same members
 (those of other tables) are searched once. The time for them grows with the square of their size, the memory does not.
 
+Hashing finds near vectors only. A vector with fewer than k others at a cosine of CLOSE is held against all vectors of its model, block
+against block as above, unless the caller asks for no others than close ones; this is exact, and its time grows with the number
+of such vectors times that of all.
+
 Equal vectors are searched once and stand for all their ids; any number of copies costs one search. Only vectors of the same model and
 length are compared. Vectors shorter than their stated dimensions, with nulls or NaN, or of zero length have no neighbours.
 Repeated ids are one record. Ties in similarity go to the smaller id.
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from ..session import Cut
 
 TABLES, PROBES, DIGITS, BUCKET = 10, 2, 4, 1024
+#: Cosines from here on are left to hashing.
+CLOSE = 0.8
 #: What rounding to eight bits may take from a cosine.
 SLACK = 0.03
 
@@ -188,8 +194,21 @@ def _cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf[["a", "b"]].assign(cosine=pd.concat(c))
 
 
-def nearest(vectors: DataFrame, k: int = 10, least: float = 0.8, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, id: str = "id", vector: str = "vector", model: str = "model", dimensions: str = "dimensions") -> DataFrame:
-    """(id, neighbour, cosine, rank 1..k): the k most similar vectors of the same model with a cosine of at least `least`."""
+def _searched(classes: DataFrame, scored: DataFrame, k: int, least: float, bucket: int) -> DataFrame:
+    """(a, b, cosine): the k + 1 most similar of every class that has fewer than k in scored, from all of its model and length."""
+    served = scored.select(F.col("a").alias("cid")).unionAll(scored.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k)
+    rows = classes.select(F.xxhash64("model", F.size("vector")).alias("key"), "cid", "vector")
+    lone = Cut(rows.join(served, "cid", "left_anti").select("key", "cid", "vector"), "lone").df
+    parts = lone.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (4 * bucket)).cast("int").alias("parts"))
+    own = lone.join(parts, "key").select("key", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "cid", "vector")
+    whole = rows.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "cid", "vector")
+    # rounding may take a cosine below -1
+    return own.unionByName(whole).repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_block_pairs(k + 1, least if least > -1 else -1.5), "a long, b long, cosine double")
+
+
+def nearest(vectors: DataFrame, k: int = 10, least: float = -1.0, tables: int = TABLES, probes: int = PROBES, bucket: int = BUCKET, id: str = "id", vector: str = "vector", model: str = "model", dimensions: str = "dimensions") -> DataFrame:
+    """(id, neighbour, cosine, rank 1..k): the k most similar vectors of the same model; with `least`, only those with such a cosine at least."""
+    floor = max(least, CLOSE)
     v = F.col(vector)
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sound = vectors.filter(F.col(id).isNotNull() & v.isNotNull() & (F.size(v) == F.col(dimensions)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & (square > 0))
@@ -221,17 +240,20 @@ def nearest(vectors: DataFrame, k: int = 10, least: float = 0.8, tables: int = T
     last = Cut(last.withColumn("one", F.min("key").over(Window.partitionBy("n", "who"))).select(F.col("key").alias("dk"), "n", (F.col("key") == F.col("one")).alias("searched")), "last").df
     placed = placed.select("key", "cid", "q", "deep").join(last, F.col("key") == F.col("dk"), "left")
     small = placed.filter("dk is null").select("key", F.lit(0).alias("part"), "cid", "q")
-    candidates = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(k, least), "a long, b long").distinct()
+    candidates = small.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(k, floor), "a long, b long").distinct()
     # vectors of another length are another bucket
     parts = F.ceil(F.col("n") / (4 * bucket)).cast("int")
     deep = placed.filter("searched").select("key", "cid", parts.alias("parts")).join(classes.select("cid", "vector"), "cid")
     deep = deep.select(F.xxhash64("key", F.size("vector")).alias("key"), "cid", "vector", "parts")
     own = deep.select("key", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "cid", "vector")
     whole = deep.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "cid", "vector")
-    blocks = own.unionByName(whole).repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_block_pairs(k + 1, least), "a long, b long, cosine double")
+    blocks = own.unionByName(whole).repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(_block_pairs(k + 1, floor), "a long, b long, cosine double")
     near = candidates.join(classes.select(F.col("cid").alias("a"), F.col("vector").alias("va")), "a").join(classes.select(F.col("cid").alias("b"), F.col("vector").alias("vb")), "b")
-    exact = near.select("a", "b", "va", "vb").mapInPandas(_cosines, "a long, b long, cosine double").filter(F.col("cosine") >= least)
+    exact = near.select("a", "b", "va", "vb").mapInPandas(_cosines, "a long, b long, cosine double").filter(F.col("cosine") >= floor)
     scored = Cut(exact.unionByName(blocks).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "scored").df
+    if least < CLOSE:
+        far = _searched(classes, scored, k, least, bucket)
+        scored = Cut(scored.unionByName(far).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "scored").df
 
     # back to ids: at most k + 1 ids of a class can be anyone's neighbours
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).filter(F.col("r") <= k + 1).select(F.col("cid").alias("nc"), F.col("id").alias("neighbour"))

@@ -63,3 +63,15 @@ def test_recall_in_one_tight_cluster(spark):
     for q in N.nearest(spark.createDataFrame([(i, "m", 64, v.tolist(), 1) for i, v in zip(ids, x)], SCHEMA), k=10, least=0.9, bucket=128).collect():
         got.setdefault(q["id"], set()).add(q["neighbour"])
     assert sum(len(set(v) & got.get(i, set())) for i, v in want.items()) / sum(map(len, want.values())) >= 0.98
+
+
+def test_every_vector_gets_its_k_whatever_their_cosines(spark):
+    """Spread vectors, none with a close one, in several blocks; and a pair of opposite ones."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 64)).astype(np.float32)
+    ids = [f"v{i:03d}" for i in range(len(x))]
+    rows = [(i, "m", 64, v.tolist(), 1) for i, v in zip(ids, x)] + [("up", "n", 2, [1.0, 3.0], 1), ("down", "n", 2, [-1.0, -3.0], 1)]
+    got = {}
+    for q in N.nearest(spark.createDataFrame(rows, SCHEMA), k=10, bucket=32).orderBy("id", "rank").collect():
+        got.setdefault(q["id"], []).append(q["neighbour"])
+    assert got == brute(x, ids, 10, -2) | {"up": ["down"], "down": ["up"]}
